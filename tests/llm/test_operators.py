@@ -1,0 +1,371 @@
+"""The ten operators on odd rows and an empty table, against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from gleaner.llm import bpe_codec, components, exact_dedup, language_id, mixing, near_copies, personal_data, queries, simhash, substring_dedup, token_counts, url_filter, weighted_fingerprints
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="session")
+def strings():
+    rng = random.Random(4)
+    out = ["".join(rng.choice(a) for _ in range(rng.randint(0, 50))) for a in ("ab", "aeh ", "it's 'll\n\t 12é漢!", " -=*", "dest rv'lm") for _ in range(300)]
+    return [*out, "a" * 500, "ab" * 300, "<|endoftext|>x<|endoftext|>", "", " " * 40, "\n" * 9 + "x", "''s 't 'really", "\x85\u3000\ufeff x"]
+
+
+def test_1_token_counts(spark, odd, empty, library, strings):
+    assert token_counts.counter(PATH)(strings) == [len(e.ids) for e in library.encode_batch(strings, add_special_tokens=False)]
+    got = token_counts.token_counts(odd, PATH, limit=100).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()), n := len(library.encode(r.text or "", add_special_tokens=False).ids), n > 100) for r in odd.collect())
+    assert Counter(map(tuple, got)) == want
+    assert token_counts.token_counts(empty, PATH).count() == 0
+
+
+def test_5_codec(spark, odd, empty, library, strings):
+    import numpy as np
+
+    encoder = bpe_codec.TrieEncoder(PATH)
+    coded = [np.frombuffer(c, "<u4").tolist() for c in encoder.encode(strings)]
+    assert coded == [e.ids for e in library.encode_batch(strings, add_special_tokens=False)]
+    assert [encoder.decode(np.array(c, "<u4").tobytes()) for c in coded] == strings
+    got = bpe_codec.encode_decode(odd, PATH).collect()
+    want = []
+    for r in odd.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert bpe_codec.encode_decode(empty, PATH).count() == 0
+    rows = bpe_codec.encode_documents(odd, PATH).collect()
+    assert all(encoder.decode(np.array(r.token_ids, "<u4").tobytes()) == (r.text or "") for r in rows)
+
+
+def words(t):
+    return re.findall("[^\x20\x09-\x0d]+", t or "")
+
+
+def test_2_mixing(spark, odd, empty):
+    got = mixing.mix(odd).collect()
+    assert len(got) == odd.count() and mixing.mix(empty).count() == 0
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r.doc_id, len(words(r.text))) for r in odd.collect())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(odd.repartition(3)).collect()), key=str)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mix(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        size[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(size))}
+    full, want = set(), {}
+    while True:  # water filling, by hand
+        level = (1.5 * sum(size.values()) - sum(2 * size[s] for s in full)) / sum(weight[s] for s in size if s not in full)
+        want = {s: 2 * size[s] if s in full else level * weight[s] for s in size}
+        more = {s for s in size if want[s] > 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    for s in size:
+        assert abs(target[s] - want[s]) < 1e-3 and abs(taken[s] - want[s]) <= 2
+
+
+def brute_components(ids, linked):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if linked(a, b):
+            p, q = find(a), find(b)
+            parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    pairs = {frozenset(e) for e in edges}
+    ids = sorted({x for e in edges for x in e if e[0] != e[1]})
+    assert got == brute_components(ids, lambda a, b: frozenset((a, b)) in pairs)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_3_links(spark, monkeypatch):
+    rng = random.Random(2)
+    seeds = [rng.getrandbits(64) for _ in range(40)]
+    prints = {s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(6)} | {seeds[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)}
+    ids = sorted(simhash.signed(p) for p in prints)
+    want = brute_components(ids, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    for most in (48, 3):  # short lists paired, then the way of long ones
+        monkeypatch.setattr(simhash, "PAIRED", most)
+        got = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(i,) for i in ids], "fp long"))).collect()}
+        assert {i: got.get(i, i) for i in ids} == want
+
+
+def test_3_simhash(spark, odd, empty):
+    import xxhash
+
+    def slow(t):
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = odd.filter("doc_id is not null").collect()
+    prints = {r.doc_id: slow(r.text) for r in rows}
+    want = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and simhash.near_duplicates(empty).count() == 0
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
+
+
+def slow_repeats(rows):
+    first = {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t)
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    out = []
+    for d, t in rows:
+        w, gone = words(t), set()
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < d:
+                gone.update(range(i, i + 50))
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return Counter(out)
+
+
+def test_4_substrings(spark, odd, empty):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(9)]
+    passages = [[rng.choice(vocabulary) for _ in range(rng.randint(45, 130))] for _ in range(8)] + [["same"] * 140]
+    rows = []
+    for d in range(60):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            w += [f"u{d}-{rng.randrange(9)}" for _ in range(rng.randint(0, 30))]
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) // 2)
+            w += p[a : a + rng.randint(30, 140)]
+        rows.append((rng.randrange(40), " ".join(w)))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("factors").collect()
+    assert Counter(map(tuple, got)) == slow_repeats(rows)
+    got = substring_dedup.remove_repeats(odd).drop("factors").collect()
+    want = slow_repeats([((1 << 63) if r.doc_id is None else r.doc_id, r.text) for r in odd.collect()])
+    assert Counter(((1 << 63) if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == want
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_6_fingerprints(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(weighted_fingerprints, "BLOCK_ROWS", 20)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), reverse=True)
+    got = {r.doc_id: r for r in weighted_fingerprints.fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    by_text, error = {}, []
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        k = len(t) // 3
+        edited = t[: len(t) - k] + after[:k]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        by_text.setdefault(t, set()).add(r.fingerprint)
+        for x, near in ((edited, r.near_edited), (after, r.near_next)):
+            a, b = Counter(words(t)), Counter(words(x))
+            error.append(near - sum((a & b).values()) / max(1, sum((a | b).values())))
+    assert all(len(f) == 1 for f in by_text.values())
+    assert abs(sum(error) / len(error)) < 0.02 and sum(map(abs, error)) / len(error) < 0.08
+    assert weighted_fingerprints.fingerprints(odd).count() == odd.count() and weighted_fingerprints.fingerprints(empty).count() == 0
+
+
+def test_6_weights_follow_generalised_jaccard(spark):
+    """Words that occur often: the share of agreeing samples, over many pairs, is the similarity."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows, want = [], []
+    for d in range(400):
+        a = {f"k{d}-{i}": rng.randint(1, 9) for i in range(6)}
+        b = {w: max(1, n + rng.randint(-4, 4)) for w, n in a.items()}
+        want.append(sum(min(a[w], b[w]) for w in a) / sum(max(a[w], b[w]) for w in a))
+        rows += [(d, side, w) for side, bag in ((0, a), (1, b)) for w, n in bag.items() for _ in range(n)]
+    flat = spark.createDataFrame(rows, "d int, which int, w string").select("d", "which", F.xxhash64("w").alias("word"))
+    k = weighted_fingerprints.SAMPLES
+    signs = weighted_fingerprints.signature(flat, ["d"]).collect()
+    by = {(r.d, r.which): [r[f"s{i}"] & 0xFFFFFF for i in range(k)] for r in signs}
+    got = sum(sum(x == y for x, y in zip(by[d, 0], by[d, 1])) / k for d in range(400)) / 400
+    assert abs(got - sum(want) / 400) < 0.02
+
+
+def test_7_language(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
+    import zlib
+
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+    odd_rows = language_id.identify(odd).collect()
+    assert len(odd_rows) == odd.count()
+    unknown = {r.doc_id for r in odd_rows if r.lang_pred == "und"}
+    assert {0, 3, 6, 30, None} >= unknown - {None} and {0, 3, 6, 30} <= unknown
+    assert language_id.identify(empty).count() == 0
+
+
+def test_7_forward_backward():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    score, moves = rng.normal(size=(1, 4, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
+    for n in (1, 4):
+        p = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=n):
+            w = np.exp(sum(score[0, t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            for t, y in enumerate(path):
+                p[t, y] += w
+        got = language_id.forward_backward(score, moves, np.array([n]))[0][0, :n]
+        assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_8_personal_data(spark, odd, empty):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    fits = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and personal_data.luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 45))) for a in ("ab@.-+1 2", "0123456789. -", "+12345 ().-9", "a1.@b", "1.2.", "25.10", "4 1-") for _ in range(2000)]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for t in texts:
+        want = {k: [m.span() for m in re.finditer(p, t) if fits[k](m[0])] for k, p in patterns.items()}
+        found = personal_data.find(t)
+        assert {k: found[k] for k in patterns} == want, t
+    more = personal_data.find("Bob (at) site [dot] org, ftp://user:secret@h.org, account no: 12345678, IBAN: DE89 3704 0044 0532 0130 00.")
+    assert [len(more[k]) for k in personal_data.MORE] == [1, 1, 1, 1]
+    assert personal_data.find_personal_data(odd).count() == odd.count() and personal_data.find_personal_data(empty).count() == 0
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_9_exact(spark, odd, empty, largest):
+    rows = odd.collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.text or "", []).append(r.doc_id)
+    got = exact_dedup.exact_duplicates(odd, largest).collect()
+    assert len(got) == len(rows) and exact_dedup.exact_duplicates(empty).count() == 0
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_sha[r.text_sha256]
+        known = [i for i in ids if i is not None]
+        assert (r.keep_id, r.group_size) == ((max if largest else min)(known) if known else None, len(ids))
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len(by_sha) and all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_9_trie():
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode() for _ in range(800)]
+    trie, want = exact_dedup.PatriciaTrie(), {}
+    for i, k in enumerate(keys):
+        assert trie.add(k, i) == (k not in want)
+        want[k] = (i, want.get(k, (0, 0))[1] + 1)
+    assert {k: (o, n) for k, o, n in trie.items()} == want
+
+
+def test_10_urls(spark):
+    pages = [
+        (1, "http://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        (2, "http://a.EXAMPLE.com/en/", "a.example.com", "/en/", "example.com/en/", "block"),
+        (3, "https://x.com", "x.com", "", None, None),
+        (4, "https://x.com/?q#f", "x.com", "/", "com/", "allow"),
+        (5, "https://notnet/es/", "notnet", "/es/", None, None),
+        (6, "https://a.net/es/x://y", "a.net", "/es/x://y", "net/es/", "block"),
+        (7, None, "", "", None, None),
+        (8, "no scheme", "", "", None, None),
+        (9, "http://b.net?x", "b.net", "", None, None),
+        (9, "http://b.net?x", "b.net", "", None, None),
+    ]
+    frame = spark.createDataFrame([p[:2] for p in pages], "page_id long, url string").selectExpr("*", "'z' AS host", "'z' AS s", "'z' AS gram", "0 AS score")
+    got = sorted(url_filter.judge(frame).collect(), key=lambda r: r.page_id)
+    for r, (i, _, host, path, rule, verdict) in zip(got, pages, strict=True):
+        assert (r.page_id, r.host, r.path, r.rule) == (i, host, path, rule)
+        assert r.verdict in ("allow", "block") and verdict in (None, r.verdict)
+    assert url_filter.judge(frame.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.judge(frame.filter("page_id = 3")).collect()} == {"allow"}
+
+
+def test_10_model(spark):
+    """The score, against the same model in plain Python."""
+    import math
+
+    train = [("^^^ab$", True), ("^^^aab$", True), ("^^^cb$", False), ("^^^ca$", False)]
+    count = {}
+    for s, ok in train:
+        for i in range(3, len(s)):
+            for k in range(4):
+                pair = count.setdefault(s[i - k : i + 1], [0, 0])
+                pair[0 if ok else 1] += 1
+
+    def p(gram, side):
+        if not gram:
+            return 1 / url_filter.SYMBOLS
+        context = sum(n[side] for g, n in count.items() if len(g) == len(gram) and g[:-1] == gram[:-1])
+        return (count[gram][side] + url_filter.PULL * p(gram[1:], side)) / (context + url_filter.PULL)
+
+    def score(s):
+        total = 0
+        for i in range(3, len(s)):
+            for k in (3, 2, 1, 0):
+                g = s[i - k : i + 1]
+                if g in count:
+                    total += math.log(p(g, 0) / p(g, 1))
+                    break
+        return total / (len(s) - 3)
+
+    frame = spark.createDataFrame(train, "s string, accepted boolean")
+    asked = ["^^^ab$", "^^^zz$", "^^^cab$"]
+    got = url_filter.scored(spark.createDataFrame([(s, s) for s in asked], "s string, k string"), url_filter.model(frame)).collect()
+    assert {r.k: round(r.score, 9) for r in got} == {s: round(score(s), 9) for s in asked}
+
+
+def test_near_copies(spark, odd, empty):
+    rng = random.Random(9)
+    base = [[f"{c}{rng.randrange(400)}" for _ in range(300)] for c in "pqrs"]
+    rows = []
+    for g, b in enumerate(base):
+        for i in range(40 if g == 0 else 4):
+            w = list(b)
+            for _ in range(2 if i else 0):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            rows.append((g * 100 + i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"{i}-{rng.random()}" for _ in range(100))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 100 * 100 for d, _ in rows if d < 1000}
+    near_copies.near_copies(odd).collect()
+    assert near_copies.near_copies(empty).count() == 0
+
+
+def test_registered():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
