@@ -17,7 +17,7 @@ def first_text(*columns: Column) -> Column:
 
 def joined_distinct(values: Column, drop=("", "未知", "无")) -> Column:
     """An array's trimmed values, without the dropped ones, in order, once each, joined with ', '."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & ~x.isin(*drop))), ", ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & ~x.isin(*drop))), ", ")
 
 
 def item_key(title: Column, primary: Column, fallback: Column) -> Column:
