@@ -83,7 +83,7 @@ def seconds_text(s: Column) -> Column:
 def elapsed_text(s: Column) -> Column:
     """12.3s, or 2m05s from a minute on."""
     whole = F.floor(s).cast("int")
-    return F.when(s < 60, F.concat(F.format_number(F.floor(s * 10 + 0.5) / 10, "0.0"), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s")))
+    return F.when(s < 60, F.concat((F.floor(s * 10 + 0.5) / 10).cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s")))
 
 
 def back_off(base: Column, attempt: Column, cap: float) -> Column:
