@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.bpe_vocab import vocabulary
 from gleaner.llm.token_counts import in_parts
 
-CACHED, PAIRS = 300_000, 1_000_000
+CACHED, PAIRS = 200_000, 500_000
 NEVER = 1 << 40
 
 
@@ -156,25 +156,45 @@ def worker_encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+def id_lists(codes: list[bytes]) -> pa.ListArray:
+    """Packed ids as an array of lists."""
+    ends = np.cumsum([0, *(len(c) // 4 for c in codes)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+
+
 def encoded(text: Column, path: str) -> Column:
     """Token ids of a text as array<int>; null as empty, special strings as the tokenizer's own tokens."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        codes = worker_encoder(path).encode([t or "" for t in texts.to_pylist()])
-        ends = np.cumsum([0, *(len(c) // 4 for c in codes)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+        return id_lists(worker_encoder(path).encode([t or "" for t in texts.to_pylist()]))
 
     return ids(text)
 
 
+def encoded_checked(text: Column, path: str) -> Column:
+    """struct<token_ids, same>: as encoded(), and whether the ids decode to the text (null as empty), in one pass."""
+
+    @F.arrow_udf("struct<token_ids:array<int>,same:boolean>")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder = worker_encoder(path)
+        codes, same = [], []
+        for part in in_parts([t or "" for t in texts.to_pylist()]):
+            made = encoder.encode(part)
+            codes += made
+            same += [encoder.decode(c) == t for c, t in zip(made, part)]
+        return pa.StructArray.from_arrays([id_lists(codes), pa.array(same, pa.bool_())], ["token_ids", "same"])
+
+    return both(text)
+
+
 def decoded(ids: Column, path: str) -> Column:
     """The text of an array of token ids; null as empty."""
 
     @F.arrow_udf("string")
     def text(codes: pa.Array) -> pa.Array:
         encoder = worker_encoder(path)
-        return pa.array([encoder.decode(np.array(c or [], "<u4").tobytes()) for c in codes.to_pylist()], pa.string())
+        return pa.array([encoder.decode(c.values.to_numpy().astype("<u4").tobytes() if c.is_valid else b"") for c in codes], pa.string())
 
     return text(ids)
 
