@@ -2,8 +2,8 @@
 
 A prefix of a word has one encoding, and its last token decides how it can go on: the last token of a longer prefix is the token that ends
 there, whose start is a prefix ending in a token that stays apart from it. So the distinct words of a batch form a trie, walked depth first;
-each node gets the last token of its prefix from the states of the nodes above it, once for all words that share the prefix. The trie is kept
-as its leaves in order: words next to each other share exactly the path of their common prefix, which stays on the stack.
+each node gets the last token of its prefix from the states of the nodes above it, once for all words that share the prefix. The tokens that end at a node come from the vocabulary's own trie with
+failure links. The trie is kept as its leaves in order: words next to each other share exactly the path of their common prefix, which stays on the stack.
 
 Nothing is shuffled: it is one map over the rows. A worker keeps encodings of at most CACHED words and PAIRS pairs of tokens.
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +27,76 @@ CACHED, PAIRS = 200_000, 500_000
 NEVER = 1 << 40
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class TrieEncoder:
     def __init__(self, path: str):
         self.v = v = vocabulary(path)
-        self.rank = {(a, b): r for r, (a, b) in enumerate(zip(v.left.tolist(), v.right.tolist()))}
+        self.rank = {key: r for r, key in enumerate((v.left * v.size + v.right).tolist())}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.parts = {t: (a, b, r) for r, (a, b, t) in enumerate(zip(v.left.tolist(), v.right.tolist(), v.made.tolist()))}
         self.apart: dict[int, bool] = {}
         self.length = list(map(len, v.bytes_of))
-        # The vocabulary's own trie: child[node << 8 | byte]; node 0 is the root.
+        # The vocabulary's own trie, child[node << 8 | byte] with root 0, and its failure links: a node's longest proper suffix in the trie.
         self.child: dict[int, int] = {}
-        self.token = [-1]
+        nodes = [(0, 0, 0, -1)]  # depth, parent, byte, token
         for t in range(v.size):
             if t in v.special.values() or not v.bytes_of[t]:
                 continue
             node = 0
-            for b in v.bytes_of[t]:
+            for depth, b in enumerate(v.bytes_of[t], 1):
                 key = node << 8 | b
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = len(self.token)
-                    self.token.append(-1)
-            self.token[node] = t
+                to = self.child.get(key, 0)
+                if not to:
+                    to = self.child[key] = len(nodes)
+                    nodes.append((depth, node, b, -1))
+                node = to
+            nodes[node] = (*nodes[node][:3], t)
+        self.fail = [0] * len(nodes)
+        #: Of each node, the (length, token) that end there, longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(nodes)
+        for node in sorted(range(1, len(nodes)), key=lambda i: nodes[i][0]):
+            depth, parent, byte, t = nodes[node]
+            if depth > 1:
+                self.fail[node] = self.follow(self.fail[parent], byte)
+            below = self.ends[self.fail[node]]
+            self.ends[node] = ((depth, t), *below) if t >= 0 else below
+        self.next: dict[int, int] = {}
+        self.flat = np.frombuffer(b"".join(v.bytes_of), np.uint8)
+        self.sizes = np.array(self.length)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.known: dict[str, bytes] = {}
 
-    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The symbols at one end of a token as it is built (0: left, 1: right), latest first, each with the rank at which it is absorbed."""
-        out, until = [], NEVER
+    def follow(self, node: int, byte: int) -> int:
+        """The node of the longest suffix of the node's string and the byte."""
         while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            *both, until = self.parts[token]
-            token = both[side]
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self.fail[node]
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The symbols at one end of a token as it is built (0: left, 1: right), latest first, with the ranks that absorb and that make them."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, until, now = [], NEVER, token
+            while True:
+                part = self.parts.get(now)
+                if part is None:
+                    known.append((now, until, -1))
+                    break
+                known.append((now, until, part[2]))
+                now, until = part[side], part[2]
+            self.edges[side][token] = known
+        return known
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b, next to each other, are what merging their bytes gives: nothing merges across the boundary.
@@ -64,25 +104,26 @@ class TrieEncoder:
         Symbols x at the end of a and y at the start of b are neighbours from when both exist until one is absorbed. They merge in that time
         if their rank comes before x is absorbed (an equal rank goes to the left, where x is) and not after y is.
         """
-        key = a * self.v.size + b
+        size = self.v.size
+        key = a * size + b
         known = self.apart.get(key)
         if known is not None:
             return known
         xs, ys = self.edge(a, 1), self.edge(b, 0)
+        rank = self.rank.get
         i = j = 0
         out = True
-        while i < len(xs) and j < len(ys):
-            (x, x_until), (y, y_until) = xs[i], ys[j]
-            r = self.rank.get((x, y), NEVER)
-            if r < NEVER and r < x_until and r <= y_until:
+        while True:
+            x, x_until, x_made = xs[i]
+            y, y_until, y_made = ys[j]
+            r = rank(x * size + y)
+            if r is not None and r < x_until and r <= y_until:
                 out = False
                 break
             # Go back in time: undo whichever of the two was made later.
-            x_made = self.parts[x][2] if x in self.parts else -1
-            y_made = self.parts[y][2] if y in self.parts else -1
-            if x_made < 0 and y_made < 0:
-                break
             if x_made >= y_made:
+                if x_made < 0:
+                    break
                 i += 1
             else:
                 j += 1
@@ -93,10 +134,12 @@ class TrieEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Encodes distinct words in one walk through their trie."""
-        child, token, length, v = self.child, self.token, self.length, self.v
+        length, ends, follow = self.length, self.ends, self.next
         stay_apart, apart, size = self.stay_apart, self.apart, self.v.size
+        if len(follow) > PAIRS:
+            follow.clear()
         last: list[int] = [-1]  # by depth: last token of the prefix
-        begun: list[list[tuple[int, int]]] = [[]]  # by depth: (start, node) of tokens that may yet end, longest first
+        node: list[int] = [0]  # by depth: where the vocabulary's trie stands
         before = b""
         for raw, word in sorted((w.encode(), w) for w in words):
             depth = 0
@@ -104,28 +147,26 @@ class TrieEncoder:
                 if p != q:
                     break
                 depth += 1
-            del last[depth + 1 :], begun[depth + 1 :]
-            for d in range(depth, len(raw)):
-                byte = raw[d]
-                open_, found = [], -1
-                for start, node in (*begun[d], (d, 0)):
-                    to = child.get(node << 8 | byte)
-                    if to is None:
-                        continue
-                    open_.append((start, to))
-                    if found < 0 and (t := token[to]) >= 0:
-                        if not start:
-                            found = t
-                        elif (ok := apart.get(last[start] * size + t)) or (ok is None and stay_apart(last[start], t)):
-                            found = t
-                last.append(found)
-                begun.append(open_)
+            del last[depth + 1 :], node[depth + 1 :]
+            at = node[depth]
+            for d in range(depth + 1, len(raw) + 1):
+                key = at << 8 | raw[d - 1]
+                to = follow.get(key)
+                if to is None:
+                    to = follow[key] = self.follow(at, raw[d - 1])
+                at = to
+                for n, t in ends[at]:
+                    if n == d or (ok := apart.get(last[d - n] * size + t)) or (ok is None and stay_apart(last[d - n], t)):
+                        break
+                last.append(t)
+                node.append(at)
             before = raw
             ids, d = [], len(raw)
             while d:
                 ids.append(last[d])
                 d -= length[last[d]]
-            self.known[word] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            self.known[word] = packed(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -148,7 +189,11 @@ class TrieEncoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids; bytes that are no UTF-8 become replacement characters, as the library's decoder does it."""
-        return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        t = np.frombuffer(ids, "<u4")
+        n = self.sizes[t]
+        end = np.cumsum(n)
+        at = np.repeat(self.starts[t] - (end - n), n) + np.arange(int(n.sum()))
+        return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
 @functools.cache
