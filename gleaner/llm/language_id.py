@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.token_counts import in_parts
 
 SAMPLE, SPAN, LABELS = 300, 3000, 64
+#: Groups that a language's rows are ranked in first.
+SHARES = 16
 #: Letters of a piece of a word: longer words are several pieces.
 LETTERS = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
@@ -233,8 +235,11 @@ def fitted(docs: DataFrame) -> Field:
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS)
     spot = F.xxhash64("doc_id")
     some = F.substring(F.col("text"), 1 + F.pmod(spot, F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int"), F.lit(SPAN))
-    ordered = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id"))
-    picked = rows.select("doc_id", "lang", spot.alias("spot")).withColumn("n", ordered).filter(F.col("n") <= SAMPLE)
+    # The first of each share are ranked before the first of all, so that a language of any size is many groups and leaves SHARES * SAMPLE ids.
+    picked = rows.select("doc_id", "lang", spot.alias("spot")).withColumn("share", F.pmod(F.shiftright("spot", 32), F.lit(SHARES)))
+    for group in (["lang", "share"], ["lang"]):
+        ordered = F.row_number().over(Window.partitionBy(*group).orderBy("spot", "doc_id"))
+        picked = picked.withColumn("n", ordered).filter(F.col("n") <= SAMPLE)
     picked = picked.join(F.broadcast(common.select("lang")), "lang", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
     sample = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", some.alias("text"), "doc_id").limit(2 * SAMPLE * LABELS).collect()  # the limit holds where ids repeat
     return fit([(r.lang, r.text) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.text))])
