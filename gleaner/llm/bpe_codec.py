@@ -14,11 +14,13 @@ import functools
 import hashlib
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from gleaner.llm.bpe_vocab import vocabulary
 from gleaner.llm.token_counts import in_parts
@@ -187,6 +189,11 @@ class TrieEncoder:
                 out.append(b"".join(codes))
         return out
 
+    def forget(self) -> None:
+        """Drops what was learned from words, so that an idle worker holds the vocabulary only."""
+        for learned in (self.known, self.next, self.apart):
+            learned.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids; bytes that are no UTF-8 become replacement characters, as the library's decoder does it."""
         t = np.frombuffer(ids, "<u4")
@@ -217,20 +224,30 @@ def encoded(text: Column, path: str) -> Column:
     return ids(text)
 
 
-def encoded_checked(text: Column, path: str) -> Column:
-    """struct<token_ids, same>: as encoded(), and whether the ids decode to the text (null as empty), in one pass."""
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of ``docs`` with token_ids, n_tokens and same (whether the ids decode to the text) in place of text; columns of these names go.
 
-    @F.arrow_udf("struct<token_ids:array<int>,same:boolean>")
-    def both(texts: pa.Array) -> pa.Array:
+    Null and empty texts have no ids and are the same; repeated rows each keep theirs; an empty table gives an empty one. A worker holds a
+    batch of texts and the ids of one part of it, and forgets the words it has met when its partition ends.
+    """
+    kept = [f for f in docs.schema if f.name not in ("text", "token_ids", "n_tokens", "same")]
+    names = [f.name for f in kept]
+    made = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("same", BooleanType())]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        codes, same = [], []
-        for part in in_parts([t or "" for t in texts.to_pylist()]):
-            made = encoder.encode(part)
-            codes += made
-            same += [encoder.decode(c) == t for c, t in zip(made, part)]
-        return pa.StructArray.from_arrays([id_lists(codes), pa.array(same, pa.bool_())], ["token_ids", "same"])
+        for batch in batches:
+            at = 0
+            for part in in_parts(t.as_py() or "" for t in batch.column("text")):
+                codes = encoder.encode(part)
+                ids = id_lists(codes)
+                same = pa.array([encoder.decode(c) == t for c, t in zip(codes, part)], pa.bool_())
+                others = batch.select(names).slice(at, len(part)).columns
+                yield pa.RecordBatch.from_arrays([*others, ids, ids.value_lengths().cast(pa.int64()), same], [*names, *(f.name for f in made)])
+                at += len(part)
+        encoder.forget()
 
-    return both(text)
+    return docs.select(*names, "text").mapInArrow(coded, StructType([*kept, *made]))
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -250,9 +267,8 @@ def round_trip(text: Column, path: str) -> Column:
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string,same:boolean>")
     def both(texts: pa.Array) -> pa.Array:
         encoder = worker_encoder(path)
-        given = [t or "" for t in texts.to_pylist()]
         rows = []
-        for part in in_parts(given):
+        for part in in_parts(t.as_py() or "" for t in texts):
             for t, ids in zip(part, encoder.encode(part)):
                 back = encoder.decode(ids)
                 rows.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest(), "same": back == t})

@@ -11,7 +11,7 @@ Nothing is shuffled: it is one map over the rows. A worker keeps counts of at mo
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,7 @@ def symbols_left(words: list[bytes], ranks: PairRanks) -> np.ndarray:
     return out
 
 
-def in_parts(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
+def in_parts(texts: Iterable[str], chars: int = CHARS) -> Iterator[list[str]]:
     """Runs of whole texts, of about so many characters."""
     part: list[str] = []
     held = 0
