@@ -13,6 +13,7 @@ those with most texts); prediction is one map over all whole texts. The weights,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,7 +180,7 @@ class Labeller:
             self.table = np.concatenate([self.table, self.field.emissions(new)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, dict[str, float]]]:
+    def predict(self, texts: Iterable[str]) -> list[tuple[str, float, dict[str, float]]]:
         """Language, score and each language's share of the words, of each text."""
         out = []
         for part in in_parts(texts):
@@ -219,7 +220,7 @@ def language(text: Column, field: Field, spark) -> Column:
     def label(texts: pa.Array) -> pa.Array:
         if not labeller:
             labeller.append(Labeller(sent.value))
-        found = labeller[0].predict([t or "" for t in texts.to_pylist()])
+        found = labeller[0].predict(t.as_py() or "" for t in texts)
         return pa.array([{"lang": a, "score": s} for a, s, _ in found], pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     return label(text)
