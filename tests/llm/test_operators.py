@@ -369,3 +369,38 @@ def test_near_copies(spark, odd, empty):
 
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def linked_by_brute_force(texts, size=5, similarity=0.8):
+    """doc_id to the smallest doc_id of its component, of documents that link to others by exact Jaccard similarity."""
+    sets = {i: {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} for i, w in ((i, t.split()) for i, t in texts)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+            linked |= {a, b}
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    return {i: top(i) for i in linked}
+
+
+def test_near_copies_in_an_alike_crowd(spark):
+    """Texts of one template, alike at 0.7, with pairs at 0.88 inside: no pair is lost though every list is long."""
+    rng = random.Random(4)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    base = fresh(144)
+    texts = []
+    for _ in range(60):
+        own = fresh(30)
+        texts += [base + own, base + own[:19] + fresh(11)] if len(texts) < 80 else [base + own, base + fresh(30)]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts)]
+    want = linked_by_brute_force(rows)
+    assert len(want) == 80
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
