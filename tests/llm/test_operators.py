@@ -404,3 +404,19 @@ def test_near_copies_in_an_alike_crowd(spark):
     want = linked_by_brute_force(rows)
     assert len(want) == 80
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_near_copies_at_the_similarity(spark):
+    """Pairs from 0.7 to 0.9, most of them just below or above 0.8, are linked as their exact similarity says."""
+    rng = random.Random(6)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    texts = []
+    for i in range(300):
+        n = rng.choice((14, 60, 204, 604))  # words, so n - 4 shingles
+        shared = round((n - 4) * 2 * (s := 0.7 + i % 21 / 100) / (1 + s)) + rng.choice((0, 0, 1))
+        head = fresh(min(n, shared + 4))
+        texts += [head + fresh(n - len(head)), head + fresh(n - len(head))]
+    rows = list(enumerate(map(" ".join, texts)))
+    want = linked_by_brute_force(rows)
+    assert 200 < len(want) < 500
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
