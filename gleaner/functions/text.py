@@ -135,8 +135,8 @@ def table_cell(c: Column) -> Column:
 
 
 def demoted_headings(c: Column) -> Column:
-    """If there is an H1, each heading sinks a level; H6 stays."""
-    return F.when(F.regexp_like(c, F.lit(r"(?m)^# ")), F.regexp_replace(c, r"(?m)^(#{1,5}) ", "#$1 ")).otherwise(c)
+    """If there is an H1, each heading sinks a level; H6 stays. Lines end at a line feed only."""
+    return F.when(F.regexp_like(c, F.lit(r"(?md)^#\s")), F.regexp_replace(c, r"(?md)^(#{1,5})(\s)", "#$1$2")).otherwise(c)
 
 
 def squeezed_lines(c: Column, blank: int) -> Column:

@@ -376,6 +376,14 @@ def q_headings(t):
     return t("documents").select("doc_id", text.demoted_headings(md).alias("md"))
 
 
+@query("""
+    WITH h AS (SELECT doc_id, repeat('#', CAST(1 + doc_id % 3 AS INTEGER)) || ' Head' || chr(10) || text AS md FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(md, '(?m)^#\\s') THEN regexp_replace(md, '(?m)^(#{1,5})(\\s)', '#\\1\\2', 'g') ELSE md END AS md FROM h""")
+def q_headings_whole(t):
+    md = F.concat(F.repeat(F.lit("#"), (1 + F.col("doc_id") % 3).cast("int")), F.lit(" Head\n"), "text")
+    return t("documents").select("doc_id", text.demoted_headings(md).alias("md"))
+
+
 @query("""
     WITH s AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10)) AS x FROM documents)
     SELECT doc_id, CAST(length(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS two,

@@ -44,3 +44,23 @@ def test_columns(spark):
     assert [one(spark, text.back_off(F.lit(b), F.lit(n), c)) for b, n, c in ((10.0, 1, 1e9), (10.0, 3, 1e9), (30.0, 4, 60.0))] == [10.0, 40.0, 60.0]
     assert one(spark, text.tight_name(F.lit("a:  b. "))) == "a_ b"
     assert one(spark, text.file_name(F.lit("..."))) == "untitled"
+
+
+def test_headings_of_whole_texts(spark, tmp_path):
+    """All headings of a text sink, also those far behind its start, as the original's expressions have it."""
+    import re
+
+    from compare import compare
+
+    from gleaner.plans import catalog
+
+    def sunk(md):
+        return re.sub(r"(?m)^(#{1,6})(\s+)", lambda m: m[0] if len(m[1]) == 6 else "#" + m[0], md) if re.search(r"(?m)^#\s+", md) else md
+
+    texts = ["x" * 90 + "\n## Two\n#\tTab\n###### Six\n#none\n##### Five", "no heading\r# not a line", "y" * 200 + "\n### Three\n\n# One\n", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.md for r in catalog.QUERIES["q_headings_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: sunk("#" * (1 + i % 3) + " Head\n" + t) for i, t in enumerate(texts)}
+    for name in catalog.QUERIES:
+        if name.startswith("q_headings"):
+            compare(spark, "/root/testdata/sf0.001", catalog.QUERIES[name], catalog.ORACLES[name])
