@@ -65,6 +65,14 @@ def trailing_streak(rows: DataFrame, keys: list[str], order: str, is_hit: Column
     return both.groupBy(*keys).agg(F.count(F.when(F.col("_miss").isNull() | (F.col(order) > F.col("_miss")), 1)).alias("streak"))
 
 
+def cooling(rows: DataFrame, keys: list[str], order: str, ts: str, is_hit: Column, as_of: Column, least: int = 3, seconds: int = 300) -> DataFrame:
+    """the trailing streak as of a time, and whether it is at least ``least`` with its last hit under ``seconds`` old."""
+    past = rows.filter(F.col(ts) <= as_of)
+    last = past.groupBy(*keys).agg(F.max(F.when(is_hit, F.col(ts))).alias("_last"))
+    young = F.coalesce(F.col("_last") > as_of - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False))
+    return trailing_streak(past, keys, order, is_hit).join(last, keys).withColumn("cooling", (F.col("streak") >= least) & young).drop("_last")
+
+
 def running_half(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """The fold a = (a + x) / 2 in order, seeded with the first value. Ordered inside the aggregate, per (bounded) key and day."""
     values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])

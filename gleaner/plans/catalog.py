@@ -123,6 +123,15 @@ def q_error_streak(t):
     return inc.trailing_streak(t("events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") == "error").withColumn("cooling", F.col("streak") >= 3)
 
 
+@query(f"""
+    WITH p AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{AS_OF}'), m AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN event_id END) AS miss, max(CASE WHEN event_type = 'error' THEN ts END) AS last FROM p GROUP BY user_id),
+    s AS (SELECT p.user_id, count(CASE WHEN m.miss IS NULL OR p.event_id > m.miss THEN 1 END) AS streak, max(m.last) AS last FROM p JOIN m ON p.user_id = m.user_id GROUP BY p.user_id)
+    SELECT user_id, streak, streak >= 3 AND coalesce(last > TIMESTAMP '{AS_OF}' - INTERVAL 300 SECOND, false) AS cooling FROM s""")
+def q_error_cooldown(t):
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    return inc.cooling(t("events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "event_id", "ts", F.col("event_type") == "error", as_of)
+
+
 @query("""
     SELECT user_id, count(*) AS calls, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases,
         round(CAST(count(CASE WHEN event_type <> 'error' THEN 1 END) AS DOUBLE) / count(*), 6) AS success_rate,

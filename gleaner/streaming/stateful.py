@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.sources.readers import merge_state, write_versioned
 
@@ -29,19 +31,28 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={newest:08d}")
 
 
-def cooldown_stream(stream: DataFrame, least: int = 3, seconds: int = 300) -> DataFrame:
+def cooldown_stream(stream: DataFrame, least: int = 3, seconds: int = 300, delay: str = "300 seconds") -> DataFrame:
     """T5: per user_id, the streak of errors so far; open while it is at least ``least`` and the last error is under ``seconds`` old.
 
-    stream: user_id long, event_type string, ts timestamp. Emits each user's state after a batch.
+    stream: user_id long, event_type string, ts timestamp. Emits each user's state after a batch, and a closing row when the watermark (the
+    largest ts of all users, less ``delay``) has passed the time limit without a row of the user. Rows behind the watermark are left out.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         streak, last = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for kind, ts in zip(rows["event_type"], rows["ts"]):
-            streak = streak + 1 if kind == "error" else 0
-            last = ts.timestamp()
+        parts = [] if state.hasTimedOut else list(batches)
+        now = state.getCurrentWatermarkMs() / 1000
+        if parts:
+            rows = pd.concat(parts).sort_values("at", kind="stable")
+            for kind, at in zip(rows["event_type"], rows["at"]):
+                streak = streak + 1 if kind == "error" else 0
+                last = at / 1e6 if kind == "error" else last
+            now = max(now, rows["at"].max() / 1e6)
+        is_open = bool(streak >= least and now - last < seconds)
         state.update((int(streak), float(last)))
-        yield pd.DataFrame({"user_id": [key[0]], "streak": [int(streak)], "open": [streak >= least and rows["ts"].max().timestamp() - last < seconds]})
+        if is_open:
+            state.setTimeoutTimestamp(max(math.ceil((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "streak": [int(streak)], "open": [is_open]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, streak long, open boolean", "streak long, last double", "update", "NoTimeout")
+    timed = stream.withWatermark("ts", delay).select("user_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, streak long, open boolean", "streak long, last double", "update", "EventTimeTimeout")

@@ -38,3 +38,35 @@ def test_streams_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     streak = {r.user_id: r.streak for r in trailing_streak(events, ["user_id"], "event_id", F.col("event_type") == "error").collect()}
     assert {r.user_id: r.streak for r in spark.sql("SELECT * FROM cool").collect()} == streak
+
+
+def test_cooldown_ends(spark, tmp_path):
+    """A user who falls silent after three errors is closed by the time limit, in the stream and as of a time."""
+    from compare import SF, compare
+
+    from gleaner.operators.incremental import cooling
+    from gleaner.plans import catalog
+
+    at = lambda s: f"timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {s})"
+    rows = lambda *r: spark.sql(" UNION ALL ".join(f"SELECT {u}L AS user_id, '{k}' AS event_type, {at(s)} AS ts, {s}L AS event_id" for u, k, s in r))
+    first = rows((1, "error", 10), (1, "error", 20), (1, "error", 30), (3, "error", 1), (3, "view", 2))
+    later = rows((2, "view", 1000))
+    src, out = str(tmp_path / "in"), []
+    columns = ["user_id", "event_type", "ts"]
+    first.select(*columns).coalesce(1).write.parquet(src)
+
+    def go():
+        s = stateful.cooldown_stream(spark.readStream.schema(first.select(*columns).schema).parquet(src))
+        keep = lambda batch, _: out.extend(map(tuple, batch.collect()))
+        s.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(100)
+
+    go()
+    assert sorted(out) == [(1, 3, True), (3, 0, False)]
+    out.clear()
+    later.select(*columns).coalesce(1).write.mode("append").parquet(src)
+    go()
+    assert sorted(out) == [(1, 3, False), (2, 0, False)]
+    for seconds, want in ((25, False), (30, True), (329, True), (330, False)):
+        got = cooling(first, ["user_id"], "event_id", "ts", F.col("event_type") == "error", F.expr(at(seconds))).collect()
+        assert {r.user_id: r.cooling for r in got} == {1: want, 3: False}
+    compare(spark, SF, catalog.QUERIES["q_error_cooldown"], catalog.ORACLES["q_error_cooldown"])
