@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from gleaner.llm.bpe_vocab import vocabulary
 from gleaner.llm.token_counts import in_parts
 
-CACHED, PAIRS = 200_000, 500_000
+CACHED, PAIRS = 200_000, 200_000
 NEVER = 1 << 40
 
 
@@ -47,7 +47,7 @@ class TrieEncoder:
         self.length = list(map(len, v.bytes_of))
         # The vocabulary's own trie, child[node << 8 | byte] with root 0, and its failure links: a node's longest proper suffix in the trie.
         self.child: dict[int, int] = {}
-        nodes = [(0, 0, 0, -1)]  # depth, parent, byte, token
+        depths, parents, bytes_, tokens = array("i", [0]), array("i", [0]), array("B", [0]), array("i", [-1])  # of each node
         for t in range(v.size):
             if t in v.special.values() or not v.bytes_of[t]:
                 continue
@@ -56,17 +56,20 @@ class TrieEncoder:
                 key = node << 8 | b
                 to = self.child.get(key, 0)
                 if not to:
-                    to = self.child[key] = len(nodes)
-                    nodes.append((depth, node, b, -1))
+                    to = self.child[key] = len(depths)
+                    depths.append(depth)
+                    parents.append(node)
+                    bytes_.append(b)
+                    tokens.append(-1)
                 node = to
-            nodes[node] = (*nodes[node][:3], t)
-        self.fail = [0] * len(nodes)
+            tokens[node] = t
+        self.fail = array("i", bytes(4 * len(depths)))
         #: Of each node, the (length, token) that end there, longest first.
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(nodes)
-        for node in sorted(range(1, len(nodes)), key=lambda i: nodes[i][0]):
-            depth, parent, byte, t = nodes[node]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depths)
+        for node in np.argsort(np.frombuffer(depths, np.int32), kind="stable")[1:].tolist():
+            depth, t = depths[node], tokens[node]
             if depth > 1:
-                self.fail[node] = self.follow(self.fail[parent], byte)
+                self.fail[node] = self.follow(self.fail[parents[node]], bytes_[node])
             below = self.ends[self.fail[node]]
             self.ends[node] = ((depth, t), *below) if t >= 0 else below
         self.next: dict[int, int] = {}

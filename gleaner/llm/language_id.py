@@ -30,7 +30,7 @@ SHARES = 16
 LETTERS = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
 CHAIN, TABLE = 48, 1 << 16
-CACHED = 200_000
+CACHED = 100_000
 UNKNOWN = "und"
 PRIME = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
 

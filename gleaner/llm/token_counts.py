@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.bpe_vocab import Vocabulary, vocabulary
 
 #: Pre-tokens whose results a worker keeps; beyond it starts anew. CHARS: text handled at once.
-CACHED, CHARS = 300_000, 1_000_000
+CACHED, CHARS = 200_000, 1_000_000
 NONE = np.int64(1) << 40
 
 
