@@ -1,10 +1,11 @@
 """Operator 9: exact duplicates by Patricia-trie owners.
 
-Texts are dealt by length and content hash; within such a partition the full byte strings go into a compressed radix trie, whose terminal
-nodes hold the owner and the number of rows. The tries work twice: on the map side, where a task's copies of a text become one entry before
-anything is shuffled (so a text that a third of all rows share travels once a task), and after the shuffle. There the entries come sorted by
-length and hash, so each (length, hash) is a subtree of its own that is closed and emitted before the next begins: Spark's external sort
-spills by subtree, and a task holds one subtree. Equality is that of the bytes, not of the hash.
+Full byte strings go into compressed radix tries, whose terminal nodes hold the owner and the number of rows of a text; what texts share at
+their start is held once. The tries work twice. On the map side a task's copies of a text become one entry before anything is shuffled, so a
+text that a third of all rows share travels about once a task; when HELD bytes are in a trie, whole subtrees are emitted until half of it is
+free. Entries are then dealt to partitions by length and content hash, where they come sorted by their bytes: every subtree off the path to
+the newest text is complete, and is emitted and cut off when HELD bytes are reached. So a task holds a bounded trie whatever its partition
+has. Which texts are equal is decided by their bytes alone; the rows of a text then find its owner by the text's SHA-256.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.components import with_groups
 from gleaner.llm.shared import written
 
-#: Bytes of text that a map-side trie holds before it emits its entries and starts anew.
-HELD = 32 << 20
+#: Bytes of text that a trie holds before it emits subtrees. BATCH: bytes of text emitted at once.
+HELD, BATCH = 16 << 20, 4 << 20
 #: Stands for a null doc_id, which any other outranks.
 LOWEST = -(1 << 63)
 
@@ -66,8 +67,9 @@ class PatriciaTrie:
         node.rows += rows
         return new
 
-    def items(self) -> Iterator[tuple[bytes, int, int]]:
-        stack = [(self.root, b"")]
+    def items(self, node: Node | None = None, before: bytes = b"") -> Iterator[tuple[bytes, int, int]]:
+        """The entries of a subtree, ``before`` being the path to it; of the whole trie without a node."""
+        stack = [(node or self.root, before)]
         while stack:
             node, path = stack.pop()
             path = path + node.part if path else node.part
@@ -75,73 +77,64 @@ class PatriciaTrie:
                 yield path, node.owner, node.rows
             stack += [(c, path) for c in node.child.values()]
 
-
-ENTRY = "size int, hash long, text binary, owner long, rows long"
-ARROW = pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("text", pa.binary()), ("owner", pa.int64()), ("rows", pa.int64())])
-
-
-def gathered(batches: Iterable[pa.RecordBatch], better) -> Iterator[pa.RecordBatch]:
-    """Map side: a trie for each (length, hash), until HELD bytes are in them."""
-    tries: dict[tuple[int, int], PatriciaTrie] = {}
-    held = 0
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        weight = 0
-        for (size, code), trie in tries.items():
-            for text, owner, rows in trie.items():
-                out.append((size, code, text, owner, rows))
-                weight += size
-                if weight >= 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ARROW.types)], schema=ARROW)
-                    out, weight = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ARROW.types)], schema=ARROW)
-        tries.clear()
-
-    for batch in batches:
-        columns = [batch.column(i) for i in range(5)]
-        for size, code, text, owner, rows in zip(*(columns[i].to_pylist() for i in (0, 1)), columns[2], *(columns[i].to_pylist() for i in (3, 4))):
-            trie = tries.get((size, code))
-            if trie is None:
-                trie = tries[size, code] = PatriciaTrie(better)
-            if trie.add(text.as_py(), owner, rows):
-                held += size
-                if held >= HELD:
-                    yield from emit()
-                    held = 0
-    yield from emit()
-
-
-def owners(batches: Iterable[pa.RecordBatch], better) -> Iterator[pa.RecordBatch]:
-    """Reduce side, entries sorted by (size, hash): a trie is emitted when the next subtree begins."""
-    trie, at = PatriciaTrie(better), None
-    out: list[tuple] = []
+    def cut(self, key: bytes) -> Iterator[tuple[bytes, int, int]]:
+        """The entries of all subtrees off the path to ``key`` (a key of the trie), which are cut off."""
+        node, at = self.root, 0
+        while True:
+            on = key[at] if at < len(key) else None
+            for first in [c for c in node.child if c != on]:
+                yield from self.items(node.child.pop(first), key[:at])
+            if on is None:
+                return
+            node = node.child[on]
+            at += len(node.part)
+
+    def halve(self, held: int) -> Iterator[tuple[bytes, int, int]]:
+        """The entries of subtrees below the root, which are cut off, until half of the ``held`` bytes of text are."""
+        gone = 0
+        for first in list(self.root.child):
+            if 2 * gone >= held:
+                return
+            for entry in self.items(self.root.child.pop(first)):
+                gone += len(entry[0])
+                yield entry
+
+
+ENTRY = "text binary, owner long, rows long"
+ARROW = pa.schema([("text", pa.binary()), ("owner", pa.int64()), ("rows", pa.int64())])
+
+
+def owners(batches: Iterable[pa.RecordBatch], better, in_order: bool) -> Iterator[pa.RecordBatch]:
+    """(text, owner, rows) through a trie. In order of the texts, each comes out once; else at least once."""
+    trie, held = PatriciaTrie(better), 0
+    out: list[tuple[bytes, int, int]] = []
     weight = 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ARROW.types)], schema=ARROW)
-
-    def close() -> None:
-        nonlocal weight
-        for text, owner, rows in trie.items():
-            out.append((*at, text, owner, rows))
-            weight += len(text)
-
-    for b in batches:
-        columns = [b.column(i) for i in range(5)]
-        for size, code, text, owner, rows in zip(*(columns[i].to_pylist() for i in (0, 1)), columns[2], *(columns[i].to_pylist() for i in (3, 4))):
-            if at != (size, code):
-                if at is not None:
-                    close()
-                    if weight >= 4 << 20:
-                        yield batch()
-                        out.clear()
-                        weight = 0
-                trie, at = PatriciaTrie(better), (size, code)
-            trie.add(text.as_py(), owner, rows)
-    if at is not None:
-        close()
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ARROW.types)], schema=ARROW)
+        out.clear()
+        return made
+
+    def entries() -> Iterator[tuple[bytes, int, int]]:
+        nonlocal held
+        for b in batches:
+            for text, owner, rows in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                key = text.as_py()
+                if not trie.add(key, owner, rows):
+                    continue
+                held += len(key)
+                if held >= HELD:
+                    for entry in trie.cut(key) if in_order else trie.halve(held):
+                        held -= len(entry[0])
+                        yield entry
+        yield from trie.items()
+
+    for entry in entries():
+        out.append(entry)
+        weight += len(entry[0]) + 50
+        if weight >= BATCH:
+            yield batch()
+            weight = 0
     if out:
         yield batch()
 
@@ -150,10 +143,10 @@ def text_owners(texts: DataFrame, largest: bool = True) -> DataFrame:
     """One row per distinct text of ``texts`` (doc_id, text binary not null): text_sha (binary), keep_id, group_size."""
     better = max if largest else min
     lowest = LOWEST if largest else (1 << 63) - 1
-    entries = texts.select(F.length("text").alias("size"), F.xxhash64("text").alias("hash"), "text", F.coalesce("doc_id", F.lit(lowest)).alias("owner"), F.lit(1).cast("long").alias("rows"))
-    partial = entries.mapInArrow(lambda it: gathered(it, better), ENTRY)
-    dealt = partial.repartition("size", "hash").sortWithinPartitions("size", "hash")
-    return dealt.mapInArrow(lambda it: owners(it, better), ENTRY).select(F.unhex(F.sha2("text", 256)).alias("text_sha"), F.when(F.col("owner") != lowest, F.col("owner")).alias("keep_id"), F.col("rows").alias("group_size"))
+    entries = texts.select("text", F.coalesce("doc_id", F.lit(lowest)).alias("owner"), F.lit(1).cast("long").alias("rows"))
+    partial = entries.mapInArrow(lambda it: owners(it, better, False), ENTRY)
+    dealt = partial.repartition(F.length("text"), F.xxhash64("text")).sortWithinPartitions("text")
+    return dealt.mapInArrow(lambda it: owners(it, better, True), ENTRY).select(F.unhex(F.sha2("text", 256)).alias("text_sha"), F.when(F.col("owner") != lowest, F.col("owner")).alias("keep_id"), F.col("rows").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, largest: bool = True) -> DataFrame:

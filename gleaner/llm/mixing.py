@@ -1,12 +1,14 @@
 """Operator 2: mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled (by a hash of their id) and queued, the whole queue as often as ``repeats`` allows. A document's virtual
-finish time is its source's words up to and with it, divided by the source's target; its start time lacks its own words. Served in the order
-of finish times, all sources reach their targets at time 1, when the total budget is spent: there the globally range-sorted queue is cut, and
-each source's document then in service gives the words served so far (or, for whole documents, comes in if half of it was served).
+Each source's documents are shuffled (by a hash of their id) and queued, the whole queue as often as ``repeats`` allows. Documents are served
+in packets of at most PACKET words. A packet's virtual finish time is its source's words up to and with it, divided by the source's target.
+All packets are range-sorted by finish time, and truncated where their words reach the total budget: what comes before is taken, the packet
+there in part. All sources go ahead in step, so each is within about a packet of its target when the budget is spent. For whole documents
+a document is one packet, and the one at the cut comes in if half of it fits.
 
 The queue is thin (id, source, size): it is written once, and no text is shuffled. Running sums are taken in slices of the shuffle hash, so
-that a source of any size is many groups; slices are summed per source, and only those sums (SLICES a source) meet.
+that a source of any size is many groups; slices are summed per source, and only those sums (2**SLICE_BITS a source) meet. The words of each range
+partition (a row each) tell in which one the budget ends; only there running sums are needed.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import WORD, checkpointed, written
 
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-#: Slices of a source's queue.
-SLICES = 1024
+#: A source's queue has 2**SLICE_BITS slices, by the highest bits of the shuffle hash. PACKET: words served at once.
+SLICE_BITS, PACKET = 10, 128
 
 
 def n_words(text: Column) -> Column:
@@ -56,18 +58,14 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     return weighed.withColumn("target", F.least(bound.cast("double"), F.lit(level) * F.col("weight"))).select("source", "source_size", "target")
 
 
-def queue(rows: DataFrame, sources: DataFrame | None = None, seed: int = 7, **how) -> DataFrame:
-    """rows (source, doc_id, size, and others, which stay) with source_size, target and ``before``: the source's words queued before the row.
-
-    sources: what targets() gives, if that is known.
-    """
+def queue(rows: DataFrame, sources: DataFrame, seed: int = 7) -> DataFrame:
+    """rows (source, doc_id, size, and others, which stay) with source_size and target (of ``sources``, as targets() gives them), the shuffle's
+    ``spot``, and ``before``: the source's words queued before the row."""
     shuffle = F.xxhash64("doc_id", F.lit(seed))
-    rows = written(rows.withColumn("spot", shuffle).withColumn("slice", F.pmod(F.shiftright(F.col("spot"), 40), F.lit(SLICES)).cast("int")))
+    rows = written(rows.withColumn("spot", shuffle).withColumn("slice", F.shiftright("spot", 64 - SLICE_BITS).cast("int")))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
-    if sources is None:
-        sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     sums = slices.join(sources, slices["source"].eqNullSafe(sources["source"])).select(slices["source"].alias("of"), F.col("slice").alias("at"), "ahead", "source_size", "target")
     inside = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     ordered = rows.withColumn("inside", F.coalesce(inside, F.lit(0)))
@@ -75,25 +73,50 @@ def queue(rows: DataFrame, sources: DataFrame | None = None, seed: int = 7, **ho
     return joined.withColumn("before", F.col("ahead") + F.col("inside")).drop("of", "at", "ahead", "inside", "slice")
 
 
-def served(epoch: Column, whole: bool) -> Column:
-    """Words that the mix takes of the row's copy in this epoch: those served before virtual time 1."""
-    start = F.col("before") + epoch * F.col("source_size")
-    if whole:
-        return F.when(start + F.col("size") / 2 <= F.col("target"), F.col("size")).otherwise(F.lit(0))
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") - start + F.lit(1e-6)).cast("long")))
+def packets(entries: DataFrame, packet: int | None) -> DataFrame:
+    """entries (size, target, source_size, before, epoch, ...) as packets: ``at`` (words of the document before it), words and finish.
+
+    packet: None for whole documents, which then give one each, empty ones (once) too.
+    """
+    if packet is None:
+        cut = entries.withColumn("at", F.lit(0).cast("long")).withColumn("words", F.col("size")).filter("size > 0 or epoch = 0")
+    else:
+        cut = entries.filter("size > 0").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
+        cut = cut.withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at")))
+    served = F.col("before") + F.col("epoch") * F.col("source_size") + F.col("at") + F.col("words")
+    return cut.withColumn("finish", F.when(F.col("target") > 0, served / F.col("target")).otherwise(F.lit(0.0)))
 
 
 def mixed(rows: DataFrame, sources: DataFrame | None = None, repeats: int = REPEATS, whole: bool = False, **how) -> DataFrame:
-    """The mix: the queued rows of ``rows`` (source, doc_id, size, …) in the order of their virtual finish times, cut at the total budget.
+    """The mix: packets of ``rows`` (source, doc_id, size, ...) in the order of their virtual finish times, truncated at the total budget.
 
-    Adds epoch, finish and taken (> 0, or the row is empty and in its place before the cut).
+    Adds epoch, at, finish and taken (> 0, or the row is empty, in its place before the cut).
     """
-    epoch = F.col("epoch")
-    entries = queue(rows, sources, repeats=repeats, **how).withColumn("epoch", F.explode(F.array(*map(F.lit, range(repeats)))))
-    start = F.col("before") + epoch * F.col("source_size")
-    entries = entries.withColumn("taken", served(epoch, whole)).withColumn("finish", F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)))
-    cut = entries.filter((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("finish") <= 1) & (epoch == 0)))
-    return cut.repartitionByRange("finish", "spot", "doc_id").sortWithinPartitions("finish", "spot", "doc_id")
+    spark = rows.sparkSession
+    if sources is None:
+        sources = checkpointed(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how))
+    budget = int((sources.agg(F.sum("target")).first()[0] or 0) + 1e-6)
+    epochs = F.explode(F.array(*[F.lit(i) for i in range(repeats)]))
+    served = packets(queue(rows, sources).withColumn("epoch", epochs), None if whole else PACKET).drop("before", "target", "source_size")
+    order = [F.col(c) for c in ("finish", "spot", "source", "doc_id", "size", "epoch", "at", *(c for c in ("row", "mark") if c in rows.columns))]
+    ranged = written(served.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    spent = 0
+    for part, words in sorted(ranged.groupBy("part").agg(F.sum("words")).collect()):  # a row a partition
+        if spent + words > budget:
+            last = part
+            break
+        spent += words
+    else:
+        return ranged.withColumn("taken", F.col("words")).drop("part", "words")
+    before = ranged.filter(F.col("part") < last).withColumn("taken", F.col("words"))
+    at_cut = ranged.filter(F.col("part") == last)
+    sum_to = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + spent
+    if whole:
+        taken = F.when(sum_to - F.col("words") / 2 <= budget, F.col("words"))
+    else:
+        taken = F.when(sum_to - F.col("words") < budget, F.least(F.col("words"), F.lit(budget) - (sum_to - F.col("words"))))
+    at_cut = at_cut.withColumn("taken", taken).filter("taken is not null")
+    return before.union(at_cut).drop("part", "words")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -103,9 +126,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     their own. If all texts are empty, so are all targets. An empty table gives none; other columns are ignored.
     """
     rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()))
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    chosen = written(mixed(rows, sources, repeats)).groupBy("row").agg(F.sum("taken").alias("taken"))
+    sources = checkpointed(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats))
+    taken = mixed(rows, sources, repeats).groupBy("row").agg(F.sum("taken").alias("taken"))
     named = sources.withColumnRenamed("source", "of")
     # A row a source: broadcast if that is little; else adaptive execution splits the hot ones.
-    full = rows.join(named, F.col("source").eqNullSafe(F.col("of"))).join(chosen, "row", "left")
+    full = rows.join(named, F.col("source").eqNullSafe(F.col("of"))).join(taken, "row", "left")
     return full.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
