@@ -1,19 +1,21 @@
 """Operator 3: SimHash near-duplicates from a byte-position inverted index with count filtering.
 
 Fingerprints that differ in at most 2 of 64 bits differ in at most 2 of 8 bytes, so they share at least 6 positional bytes. A plain index of
-single bytes has only 2048 lists, which grow with the corpus until every list pairs everything; so the index takes positional bytes four at
-a time. The 8 positions form 4 couples; two differing bytes touch at most two couples, so one of the 6 unions of two couples is untouched,
-and each fingerprint is posted under those 6. Candidates of a list are tallied (shared positional bytes), kept from 6 on, and verified bit by
-bit. Rows of one fingerprint are one entry of the index.
-
-Lists of more than PAIRED fingerprints are not paired. Their fingerprints go through an exact linear way: each is posted under itself and its
-64 one-bit neighbours; two fingerprints share such a posting exactly if they differ in at most 2 bits (one bit: each is the other's
-neighbour; two: the one between), so every member links to the smallest one of its posting.
+single bytes has only 2048 lists, which grow with the corpus until every list pairs everything; so a posting is not one positional byte but
+GRAM of them at once: a fingerprint is posted under every choice of GRAM of its 8 bytes. Two fingerprints with m bytes in common share as
+many postings as there are choices of GRAM among m, at least LEAST_SHARED if m is 6 or more. Each pair's shared postings are tallied, pairs
+that reach that number are kept, and verified bit by bit. Rows of one fingerprint are one entry of the index.
+
+Lists of more than PAIRED fingerprints are not paired, which would emit all pairs of a crowd. Fingerprints in such a list go, with each
+other, through an exact linear way: each is posted under itself and its 64 one-bit neighbours; two fingerprints share such a posting exactly
+if they differ in at most 2 bits (one bit: each is the other's neighbour; two: the one between), so every member links to the smallest one of
+its posting. All lists that a fingerprint shares with one outside every crowd are short, so those pairs' tallies are whole.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,12 @@ from gleaner.llm.shared import written
 
 BITS = 2
 #: Lists of up to so many fingerprints are paired.
-PAIRED = 48
-COUPLES = [0xFFFF << (16 * i) for i in range(4)]
-MASKS = [a | b for a, b in combinations(COUPLES, 2)]
-LEAST_SHARED = 8 - BITS
+PAIRED = 24
+#: Positional bytes of a posting, and the masks of all choices.
+GRAM = 5
+MASKS = [sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(8), GRAM)]
+#: The postings that fingerprints of a link share at least.
+LEAST_SHARED = comb(8 - BITS, GRAM)
 #: Shingles whose bits are added up at once.
 CHUNK = 200_000
 
@@ -63,14 +67,14 @@ def signed(x: int) -> int:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) linking the distinct fingerprints of ``prints`` (fp): all links of short lists, and of long ones links that connect the same."""
-    lists = F.explode(F.array(*[F.struct(F.lit(i).alias("unit"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(MASKS)]))
-    posted = prints.select("fp", lists.alias("at")).select("fp", "at.unit", "at.part")
-    sizes = posted.groupBy("unit", "part").agg(F.count("*").alias("n")).filter("n > 1")
-    posted = written(posted.join(sizes, ["unit", "part"]))
-    short = posted.filter(F.col("n") <= PAIRED)
-    pairs = short.select("unit", "part", F.col("fp").alias("a")).join(short.select("unit", "part", F.col("fp").alias("b")), ["unit", "part"]).filter("a > b")
-    shared = sum(F.when(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8))
-    kept = pairs.filter(shared >= LEAST_SHARED).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
+    postings = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(MASKS)])
+    posted = prints.select("fp", F.explode(postings).alias("at"))
+    sizes = posted.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
+    posted = written(posted.join(sizes, "at"))
+    short = posted.filter(F.col("n") <= PAIRED).select("at", "fp")
+    met = short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), "at").filter("a > b")
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= LEAST_SHARED)
+    kept = tally.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     crowd = posted.filter(F.col("n") > PAIRED).select("fp").distinct()
     near = crowd.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("at"))
     smallest = near.groupBy("at").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1").select("at", "low")

@@ -2,11 +2,12 @@
 
 Every document is reference for those with larger ids. Its text is cut, by content alone, into blocks: runs of consecutive WINDOW-word
 windows that have the same anchor, the smallest hash among the GRAM-word grams of the window; so two documents that share a passage cut it
-into the same blocks wherever it stands. All blocks go into an index with their smallest doc_id. A document is then parsed against it:
-blocks indexed with a smaller id are copied whole, and consecutive ones make one factor, as long as it goes. Where a factor ends, a block
-matches in part only: its anchor is known, its content is not. Those boundary blocks, and the reference blocks with their anchors, are
-opened, and their windows are looked up one by one. Factors, with what their boundaries gave, are the duplicate spans; a factor is at least
-WINDOW words long by construction.
+into the same blocks wherever it stands. All blocks go into an index with their smallest doc_id and their place in it. Blocks of a document
+that the index has with a smaller id are matches. Where a passage ends, a block matches in part only: its anchor is known, its content is
+not. Those boundary blocks, and the reference blocks with their anchors, are opened, and their windows are looked up one by one, as further
+matches. The document is then parsed greedily: matches that go on in the same reference at the same distance are one, as long as it goes, and
+from each place on the match that reaches furthest becomes the next factor (its words, the reference, the place there). The matches are at
+least WINDOW words long by construction, so the words of all factors are the duplicate spans.
 
 That is exact: windows with equal words have equal anchors, so a window can only repeat in a block with its anchor; equal blocks have equal
 windows; and blocks that are alone with their anchor hold no repeated window. It never pairs documents: a passage in n documents costs n rows
@@ -139,37 +140,64 @@ def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], names)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Factors: sorted spans of words (ends exclusive), those that touch or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+Match = tuple[int, int, int, int]
+
+
+def longest(matches: list[Match]) -> list[Match]:
+    """Matches (a, b, ref, at: words a to b, exclusive, are those of document ref from at on), those that go on in one reference as one."""
+    out: list[Match] = []
+    for a, b, ref, at in sorted(matches, key=lambda m: (m[2], m[3] - m[0], m[0])):
+        if out and out[-1][2] == ref and out[-1][3] - out[-1][0] == at - a and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), ref, out[-1][3])
         else:
-            out.append((a, b))
-    return out
+            out.append((a, b, ref, at))
+    return sorted(out)
+
+
+def factors_of(matches: list[Match]) -> list[Match]:
+    """The greedy parse: from each place that a match covers, the one that reaches furthest (of several, that of the smallest reference)."""
+    found = longest(matches)
+    out: list[Match] = []
+    place, i, best = 0, 0, None
+    while True:
+        while i < len(found) and found[i][0] <= place:
+            if best is None or (found[i][1], -found[i][2]) > (best[1], -best[2]):
+                best = found[i]
+            i += 1
+        if best is not None and best[1] > place:
+            out.append((place, best[1], best[2], best[3] + place - best[0]))
+            place = best[1]
+        elif i < len(found):
+            place, best = found[i][0], None
+        else:
+            return out
+
+
+FACTOR = "a: int, b: int, ref: long, at: int"
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to doc_id, n_words, n_removed, kept (text), kept_sha256, factors."""
+    """(doc_id, text, matches) to doc_id, n_words, n_removed, kept_sha256 and factors."""
+    names = ("a", "b", "ref", "at")
+    factor = pa.struct([(n, pa.int64() if n == "ref" else pa.int32()) for n in names])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(factor)]
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for doc, text, matches in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             words = text.as_py().split()
-            factors = merged([(s["a"], s["b"]) for s in spans or []])
-            kept, at = [], 0
-            for a, b in factors:
-                kept += words[at:a]
-                at = b
-            kept += words[at:]
-            rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"a": a, "b": b} for a, b in factors]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
+            factors = factors_of([tuple(m[n] for n in names) for m in matches or []])
+            kept, place = [], 0
+            for a, b, _, _ in factors:
+                kept += words[place:a]
+                place = b
+            kept += words[place:]
+            rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(names, f)) for f in factors]))
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "factors"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and factors (spans of words removed) of each row.
+    """doc_id, n_words, n_removed, kept_sha256 and factors (words removed, and where they stand before) of each row.
 
     Removed is each word in a window of WINDOW words that also starts in a document with a smaller doc_id. Null and empty texts have no words.
     Rows that repeat a doc_id are no reference for each other. A null doc_id is above every other. An empty table gives none; other columns
@@ -179,17 +207,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", content).select("doc_id", F.coalesce("doc_id", F.lit(HIGHEST)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
     blocks = written(texts.select("doc", "mark", "text").mapInArrow(blocks_of, BLOCK))
     # The index: each block with its smallest document, each anchor with its number of blocks and smallest document.
-    index = blocks.groupBy("anchor", "one", "two").agg(F.min("doc").alias("owner"), F.count("*").alias("n"))
+    index = blocks.groupBy("anchor", "one", "two").agg(F.min("doc").alias("owner"), F.min_by("first", "doc").alias("there"), F.count("*").alias("n"))
     index = written(index)
     shared = index.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("owner").alias("least")).filter("kinds > 1")
     index = index.join(shared, "anchor", "left").filter("n > 1 or kinds > 1")
     # Copied blocks have a smaller owner. An owner's block is opened if its anchor has others.
-    told = written(blocks.join(index, ["anchor", "one", "two"]).filter("owner < doc or kinds > 1").select("doc", "mark", "first", "windows", (F.col("owner") < F.col("doc")).alias("copied")))
-    opened = told.filter("not copied").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "windows")).alias("opened"))
+    told = written(blocks.join(index, ["anchor", "one", "two"]).filter("owner < doc or kinds > 1").select("doc", "mark", "first", "windows", "owner", "there"))
+    opened = told.filter("owner = doc").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "windows")).alias("opened"))
     windows = written(texts.select("doc", "mark", "text").join(opened, ["doc", "mark"]).mapInArrow(windows_of, f"{DOC}, at int, one long, two long"))
-    first = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("one", "two", "owner")
-    edges = windows.join(first, ["one", "two"]).filter("owner < doc").select("doc", "mark", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
-    copies = told.filter("copied").select("doc", "mark", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (WINDOW - 1)).alias("b"))
-    spans = edges.union(copies).groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    joined_ = texts.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
-    return joined_.mapInArrow(parsed, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<a: int, b: int>>")
+    first = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.min_by("at", "doc").alias("there"), F.max("doc").alias("last")).filter("owner < last").select("one", "two", "owner", "there")
+    edges = windows.join(first, ["one", "two"]).filter("owner < doc").select("doc", "mark", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"), F.col("owner").alias("ref"), F.col("there").alias("at"))
+    copies = told.filter("owner < doc").select("doc", "mark", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (WINDOW - 1)).alias("b"), F.col("owner").alias("ref"), F.col("there").alias("at"))
+    matches = edges.union(copies).groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b", "ref", "at")).alias("matches"))
+    joined_ = texts.join(matches, ["doc", "mark"], "left").select("doc_id", "text", "matches")
+    return joined_.mapInArrow(parsed, f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<{FACTOR}>>")

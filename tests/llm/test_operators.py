@@ -225,6 +225,34 @@ def test_4_substrings(spark, odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_4_factors(spark):
+    """Each factor's words stand at its place in its reference, a document with a smaller id, and factors don't overlap."""
+    rng = random.Random(5)
+    passages = [[f"v{rng.randrange(50)}" for _ in range(200)] for _ in range(4)]
+    rows = []
+    for d in range(40):
+        w = []
+        for _ in range(3):
+            p, a = rng.choice(passages), rng.randrange(100)
+            w += [f"u{d}-{rng.randrange(9)}" for _ in range(rng.randint(0, 30))] + p[a : a + rng.randint(20, 200)]
+        rows.append((d, " ".join(w)))
+    text = {d: t.split() for d, t in rows}
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, r in got.items():
+        place = 0
+        for f in r.factors:
+            assert f.ref < d and f.a >= place and text[d][f.a : f.b] == text[f.ref][f.at : f.at + f.b - f.a]
+            place = f.b
+        assert r.n_removed == sum(f.b - f.a for f in r.factors)
+    assert any(f.b - f.a > 60 for r in got.values() for f in r.factors)
+
+
+def test_4_greedy_parse():
+    m = [(0, 60, 1, 5), (10, 70, 1, 15), (20, 75, 2, 0), (200, 260, 3, 0), (205, 255, 4, 0)]
+    assert substring_dedup.factors_of(m) == [(0, 70, 1, 5), (70, 75, 2, 50), (200, 260, 3, 0)]
+    assert substring_dedup.factors_of([]) == []
+
+
 def test_6_fingerprints(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(weighted_fingerprints, "BLOCK_ROWS", 20)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
