@@ -3,11 +3,13 @@
 Each word of a text is labelled with a language, so code-switched text gets both of its languages. A word's features are its affixes (1 to 3
 letters), its letter n-grams (2 and 3, with its boundaries) and, if the lexicon has it, itself; features are hashed into a table of weights
 per language. Transitions between neighbouring words' languages are learned with them, on chains cut from one language and on chains spliced
-from two. Forward-backward gives each word's marginals in chains of CHAIN words; a text's language is the one with the largest sum of them,
-and its score that sum's share.
+from two. Forward-backward gives each word's marginals, a whole text being one chain; a text's language is the one with the largest sum of them, and
+its score that sum's share.
 
-The field is fitted on the driver from a bounded sample (SAMPLE texts a language of at most SPAN characters each, at most LABELS languages,
-those with most texts); prediction is one map over all whole texts. The weights, TABLE x languages, are what is broadcast.
+The field is fitted on the driver from a bounded sample of labelled rows: SAMPLE texts a language, of at most SPAN characters each, and with
+many languages an equal share of TEXTS for each, so all languages are learned. Of these texts' chains of 24 words it takes at most CHAINS, an
+equal share for each language, and splices a quarter as many. Prediction is one map over all whole texts. The weights, TABLE x languages, are
+what is broadcast.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.token_counts import in_parts
 
-SAMPLE, SPAN, LABELS = 300, 3000, 64
+SAMPLE, SPAN, TEXTS, CHAINS = 300, 3000, 20_000, 4000
 #: Groups that a language's rows are ranked in first.
-SHARES = 16
+SHARES = 64
 #: Letters of a piece of a word: longer words are several pieces.
 LETTERS = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
-CHAIN, TABLE = 48, 1 << 16
+TABLE = 1 << 16
 CACHED = 100_000
 UNKNOWN = "und"
 PRIME = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -120,7 +122,14 @@ def fit(sample: list[tuple[str, str]], rounds: int = 3, seed: int = 5) -> Field:
     steps = 24
     chains = [(words[i : i + steps], [y] * steps) for y, words in texts for i in range(0, len(words) - steps + 1, steps)]
     few = [(words, [y] * len(words)) for y, words in texts if 0 < len(words) < steps]
-    chains = [chains[i] for i in rng.permutation(len(chains))[:4000]]
+    chains = [chains[i] for i in rng.permutation(len(chains))]
+    share, taken = max(1, CHAINS // max(1, len(labels))), [0] * len(labels)
+    picked = []
+    for words, ys in chains:
+        taken[ys[0]] += 1
+        if taken[ys[0]] <= share:
+            picked.append((words, ys))
+    chains = picked
     for i in range(0, len(chains) - 1, 4):  # code-switched chains
         (p, x), (q, y) = chains[i], chains[i + 1]
         at = int(rng.integers(4, steps - 4))
@@ -162,6 +171,12 @@ def fit(sample: list[tuple[str, str]], rounds: int = 3, seed: int = 5) -> Field:
     return Field(labels, weights, moves, lexicon)
 
 
+def alike(count: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the texts that have words, in groups whose counts lie within a power of two."""
+    power = np.ceil(np.log2(np.maximum(count, 1))).astype(int)
+    return [np.flatnonzero((count > 0) & (power == p)) for p in np.unique(power[count > 0])]
+
+
 class Labeller:
     """A worker's field with the emissions of the words it has met, at most CACHED."""
 
@@ -191,19 +206,14 @@ class Labeller:
                 out += [(UNKNOWN, 0.0, {})] * len(part)
                 continue
             rows = self.rows([w for words in split for w in words])
-            chains = -(-count // CHAIN)  # of each text; a chain has up to CHAIN words of one text
-            size = np.full(chains.sum(), CHAIN)
-            ends = np.cumsum(chains)
-            some = count > 0
-            size[ends[some] - 1] = count[some] - (chains[some] - 1) * CHAIN
-            step = np.arange(CHAIN) < size[:, None]
-            score = np.zeros((*step.shape, len(self.field.labels)), np.float32)
-            score[step] = self.table[rows]
             share = np.zeros((len(part), len(self.field.labels)))
-            owner = np.repeat(np.arange(len(part)), chains)
-            marginal = forward_backward(score, self.field.moves, size)[0].sum(axis=1)
-            for k in range(share.shape[1]):
-                share[:, k] = np.bincount(owner, marginal[:, k], len(part))
+            begins = np.cumsum(count) - count
+            for group in alike(count):  # a text is a chain
+                size = count[group]
+                step = np.arange(size.max()) < size[:, None]
+                score = np.zeros((*step.shape, len(self.field.labels)), np.float32)
+                score[step] = self.table[rows[np.concatenate([np.arange(begins[i], begins[i] + count[i]) for i in group])]]
+                share[group] = forward_backward(score, self.field.moves, size)[0].sum(axis=1, dtype=np.float64)
             share /= np.maximum(count, 1)[:, None]
             for n, s in zip(count, share):
                 best = int(s.argmax())
@@ -231,18 +241,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame) -> Field:
-    """The field of the rows that aren't held out and have a text and a lang."""
-    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != ""))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS)
+    """The field of the rows that aren't held out and have a text and a lang. The sample is the same in every run."""
+    mark = F.xxhash64("text")
+    rows = docs.select("doc_id", "lang", "text", mark.alias("mark")).filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    each = max(1, min(SAMPLE, TEXTS // max(1, rows.select("lang").distinct().count())))
     spot = F.xxhash64("doc_id")
     some = F.substring(F.col("text"), 1 + F.pmod(spot, F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int"), F.lit(SPAN))
-    # The first of each share are ranked before the first of all, so that a language of any size is many groups and leaves SHARES * SAMPLE ids.
-    picked = rows.select("doc_id", "lang", spot.alias("spot")).withColumn("share", F.pmod(F.shiftright("spot", 32), F.lit(SHARES)))
+    # The first of each share are ranked before the first of all, so that a language of any size is many groups and leaves SHARES * SAMPLE rows.
+    picked = rows.select("doc_id", "lang", "mark", spot.alias("spot")).withColumn("share", F.pmod(F.shiftright("spot", 32), F.lit(SHARES)))
     for group in (["lang", "share"], ["lang"]):
-        ordered = F.row_number().over(Window.partitionBy(*group).orderBy("spot", "doc_id"))
-        picked = picked.withColumn("n", ordered).filter(F.col("n") <= SAMPLE)
-    picked = picked.join(F.broadcast(common.select("lang")), "lang", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
-    sample = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", some.alias("text"), "doc_id").limit(2 * SAMPLE * LABELS).collect()  # the limit holds where ids repeat
+        ordered = F.row_number().over(Window.partitionBy(*group).orderBy("spot", "doc_id", "mark"))
+        picked = picked.withColumn("n", ordered).filter(F.col("n") <= each)
+    key = ["doc_id", "lang", "mark"]
+    sample = rows.join(F.broadcast(picked.select(*key).distinct()), key).groupBy(*key).agg(F.min(some).alias("text")).collect()
     return fit([(r.lang, r.text) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.text))])
 
 

@@ -3,7 +3,8 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, digits, plus signs, schemes and words that announce an identifier. Around each
 anchor a local parser expands to the boundaries of an address or number and validates it. E-mail, IP, card and phone spans equal, by
 construction, the leftmost non-overlapping matches of their patterns; anchors also lead to spans that those patterns don't see: e-mail
-addresses spelt out ("name [at] host [dot] com"), credentials in a URL, IBANs and account numbers after their cue.
+addresses spelt out ("name [at] host [dot] com"), credentials in a URL, IBANs and account numbers after their cue, and secrets: values that a
+cue word assigns, and keys that begin as their issuers let them.
 
 Nothing is shuffled, and a text is read once however long it is.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds.
-MORE = ("email_spelt", "url_login", "iban", "account")
+MORE = ("email_spelt", "url_login", "iban", "account", "secret")
 DIGITS = frozenset("0123456789")
 ALPHA = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 LOCAL = ALPHA | DIGITS | frozenset("._%+-")
@@ -29,6 +30,12 @@ LABEL = ALPHA | DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 CUES = ("account", "acct", "iban", "IBAN", "Account", "Acct", "ACCOUNT")
 AT_WORDS = ("[at]", "(at)")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key", "credential")
+#: How keys of public services begin, and what may follow.
+KEYS = {"AKIA": "[0-9A-Z]{16}", "ASIA": "[0-9A-Z]{16}", "ghp_": "[0-9A-Za-z]{36}", "glpat-": "[0-9A-Za-z_-]{20}", "sk-": "[0-9A-Za-z_-]{20,}", "xoxb-": "[0-9A-Za-z-]{20,}", "eyJ": r"[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"}
+KEY_AFTER = {k: re.compile(v + r"(?![0-9A-Za-z])") for k, v in KEYS.items()}
+#: What follows a secret's cue: an assignment, and a value in quotes of 8 or more characters, or a bare one of 12 or more with a digit.
+ASSIGNED = re.compile(r"""["']?[ \t]{0,3}(?::=|[:=])[ \t]{0,3}(?:"([^"\s]{8,})"|'([^'\s]{8,})'|((?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}))""")
 SPELT = re.compile(r"[ ]?(?:\[at\]|\(at\))[ ]?([A-Za-z0-9-]+(?:(?:[ ]?(?:\[dot\]|\(dot\))[ ]?|\.)[A-Za-z0-9-]+)+)")
 LOGIN = re.compile(r"://([^\s/:@?#]+):([^\s/@?#]+)@")
 ACCOUNT = re.compile(r"(?:[ ]?(?:no|number|nr)\.?)?[ ]?[:#=][ ]?([0-9]{6,20})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
@@ -38,7 +45,7 @@ IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za
 @functools.cache
 def anchors() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for kind, words in (("@", ["@"]), ("+", ["+"]), ("digit", sorted(DIGITS)), ("://", ["://"]), ("at", AT_WORDS), ("cue", CUES)):
+    for kind, words in (("@", ["@"]), ("+", ["+"]), ("digit", sorted(DIGITS)), ("://", ["://"]), ("at", AT_WORDS), ("cue", CUES), ("secret", [f(w) for w in SECRET_CUES for f in (str.lower, str.upper, str.capitalize)]), ("key", list(KEYS))):
         for w in words:
             out.add_word(w, (kind, len(w)))
     out.make_automaton()
@@ -110,7 +117,7 @@ def phone(text: str, at: int) -> int | None:
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """The spans of each kind, by start; ends are exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*KINDS, *MORE)}
-    free_email = free_ip = free_card = free_phone = 0
+    free_email = free_ip = free_card = free_phone = free_secret = 0
     for last, (kind, size) in anchors().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -146,6 +153,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         elif kind == "://":
             if m := LOGIN.match(text, at):
                 out["url_login"].append((m.start(1), m.end(2)))
+        elif kind == "secret":
+            if (m := ASSIGNED.match(text, last + 1)) and m.start(m.lastindex) >= free_secret:
+                out["secret"].append(m.span(m.lastindex))
+                free_secret = m.end()
+        elif kind == "key":
+            if at >= free_secret and (not at or not text[at - 1].isalnum()) and (m := KEY_AFTER[text[at : last + 1]].match(text, last + 1)):
+                out["secret"].append((at, m.end()))
+                free_secret = m.end()
         elif kind == "cue" and (not at or not text[at - 1].isalnum()):
             if (m := IBAN.match(text, last + 1)) and iban(m[1].replace(" ", "")):
                 out["iban"].append(m.span(1))
@@ -164,18 +179,21 @@ def told(spans: dict, kinds) -> str:
 
 @functools.cache
 def found_type() -> pa.DataType:
-    return pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    return pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("n_spans", pa.int64())])
 
 
 def personal_data(text: Column) -> Column:
-    """struct<n_email, n_ip, n_card, n_phone, base_sha256, spans> of a text; null as empty. The counts are those of the base spans."""
+    """struct<n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans> of a text; null as empty.
 
-    @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>")
+    The first four counts are those of the base spans, n_spans is that of all.
+    """
+
+    @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_secret:long,n_spans:long>")
     def found(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
             spans = find(t.as_py() or "")
-            rows.append({f"n_{k}": len(spans[k]) for k in KINDS} | {"base_sha256": hashlib.sha256(told(spans, KINDS).encode()).hexdigest(), "spans": told(spans, (*KINDS, *MORE))})
+            rows.append({f"n_{k}": len(spans[k]) for k in KINDS} | {"base_sha256": hashlib.sha256(told(spans, KINDS).encode()).hexdigest(), "spans": told(spans, (*KINDS, *MORE)), "n_secret": len(spans["secret"]), "n_spans": sum(map(len, spans.values()))})
         return pa.array(rows, found_type())
 
     return found(text)

@@ -3,10 +3,12 @@
 Rules decide where they fit. All other URLs are judged by two smoothed variable-order Markov models over URL characters, one of the URLs that
 rules allow and one of those they block: each character is scored with the longest context (up to three characters) that was seen before it,
 probabilities being interpolated with those of shorter contexts. A URL's score is the mean log-likelihood difference of its characters; the
-threshold is calibrated on the rules' own URLs, where both classes lie equally many standard deviations away.
+threshold lies equally many standard deviations from both classes' mean scores, on the quarter of the rules' URLs (by a hash of the URL) that
+the models haven't seen.
 
 All of it is DataFrame functions. Counts come from all URLs, summed before they are shuffled. Characters are mapped to SYMBOLS symbols, so a
-model has at most the sum of SYMBOLS**k entries for k up to ORDER (2.9 million of about 30 bytes), whatever the input: that is broadcast.
+model has at most the sum of SYMBOLS**k entries for k up to ORDER (2.9 million of about 30 bytes), whatever the input. A length of grams is
+broadcast if it has up to GRAMS entries, else joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-case letters, a digit, eleven marks, any other, the start and the end.
 SYMBOLS, ORDER = 41, 4
+#: Entries of a length of grams that are broadcast (about 40 MB).
+GRAMS = 400_000
 #: Pull of a shorter context's probability, in characters.
 PULL = 4.0
 
@@ -85,9 +89,10 @@ def scored(rows: DataFrame, grams: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "s"]
     each = characters(rows.withColumn("_row", F.monotonically_increasing_id()))
     found = []
+    entries = {r["k"]: r["n"] for r in grams.groupBy(F.length("gram").alias("k")).agg(F.count("*").alias("n")).collect()}  # ORDER rows
     for k in range(ORDER, 0, -1):
-        level = F.broadcast(grams.filter(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")))
-        each = each.join(level, F.expr(f"right(gram, {k})") == F.col(f"g{k}"), "left")
+        level = grams.filter(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
+        each = each.join(F.broadcast(level) if entries.get(k, 0) <= GRAMS else level, F.expr(f"right(gram, {k})") == F.col(f"g{k}"), "left")
         found.append(F.col(f"r{k}"))
     ratio = F.coalesce(*found, F.lit(0.0))
     return each.groupBy("_row", *keep).agg(F.avg(ratio).alias("score")).drop("_row")
@@ -107,15 +112,18 @@ def threshold(train: DataFrame, grams: DataFrame) -> float | None:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of each row.
 
-    A null url, or one without ``://``, has an empty host and path. Where no rule fits the models decide; if the rules' verdicts lack a class,
-    everything else is allowed. Repeated rows each give a row; an empty table gives none; other columns are ignored.
+    A null url, or one without ``://``, has an empty host and path. Where no rule fits the models decide; if the unseen quarter
+    lacks a class the threshold comes from all URLs with a rule, and if these do everything else is allowed. Repeated rows each give a row; an empty table gives none; other columns are ignored.
     """
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), symbols(url).alias("s"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "s", "rule.rule", "rule.verdict")
     train = ruled.filter("verdict is not null").select("s", (F.col("verdict") == "allow").alias("accepted"))
-    grams = model(train)
-    cut = threshold(train, grams)
+    unseen = F.pmod(F.xxhash64("s"), F.lit(4)) == 0
+    grams = model(train.filter(~unseen))
+    cut = threshold(train.filter(unseen), grams)
+    if cut is None:
+        cut = threshold(train, grams)
     if cut is None:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     said = F.when(F.col("score") >= cut, "allow").otherwise("block")
