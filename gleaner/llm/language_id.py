@@ -86,22 +86,25 @@ class Field:
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)), np.float32)
 
 
-def forward_backward(score: np.ndarray, moves: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains' scores (chain, step, label) to marginals, and forward and backward messages (each step normalised); zero beyond a chain's size."""
+def forward_backward(score: np.ndarray, moves: np.ndarray, size: np.ndarray, enter=1.0, leave=1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains' scores (chain, step, label) to marginals, and forward and backward messages (each step normalised); zero beyond a chain's size.
+
+    enter, leave: the messages (chain, label) that come in before a chain's first step, and after its last.
+    """
     n, steps, _ = score.shape
     e = np.exp(score - score.max(axis=2, keepdims=True))
     a = np.exp(moves)
     ahead, back = np.empty_like(e), np.empty_like(e)
-    now = e[:, 0]
+    now = e[:, 0] * enter
     ahead[:, 0] = now / now.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         now = (ahead[:, t - 1] @ a) * e[:, t]
         ahead[:, t] = now / now.sum(axis=1, keepdims=True)
-    back[:, -1] = 1
+    back[:, -1] = leave
     for t in range(steps - 2, -1, -1):
         now = (back[:, t + 1] * e[:, t + 1]) @ a.T
         now /= now.sum(axis=1, keepdims=True)
-        back[:, t] = np.where((t + 1 < size)[:, None], now, 1)
+        back[:, t] = np.where((t + 1 < size)[:, None], now, leave)
     both = ahead * back
     both /= both.sum(axis=2, keepdims=True)
     both *= (np.arange(steps) < size[:, None])[:, :, None]
@@ -171,10 +174,49 @@ def fit(sample: list[tuple[str, str]], rounds: int = 3, seed: int = 5) -> Field:
     return Field(labels, weights, moves, lexicon)
 
 
-def alike(count: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the texts that have words, in groups whose counts lie within a power of two."""
-    power = np.ceil(np.log2(np.maximum(count, 1))).astype(int)
-    return [np.flatnonzero((count > 0) & (power == p)) for p in np.unique(power[count > 0])]
+def block_of(labels: int) -> int:
+    """Words of a block, so that all blocks' products take a bounded number of values a word."""
+    return 48 * max(1, labels * labels // 256)
+
+
+def marginals(score: np.ndarray, moves: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The summed marginals (text, label) of texts, each one chain. score: (word, label) of the texts' words, count: words of each text (> 0).
+
+    Forward-backward in blocks of words: each block's product of its steps' matrices takes messages across it at once, so they go from block to
+    block of a text first, and then inside all blocks at the same time. The result is that of going word by word.
+    """
+    labels = score.shape[1]
+    block = block_of(labels)
+    blocks = -(-count // block)
+    ends = np.cumsum(blocks)
+    first = ends - blocks
+    size = np.full(ends[-1], block)
+    size[ends - 1] = count - (blocks - 1) * block
+    step = np.arange(min(block, int(count.max()))) < size[:, None]
+    each = np.zeros((*step.shape, labels), np.float32)
+    each[step] = score
+    enter, leave = np.ones((len(size), labels), np.float32), np.ones((len(size), labels), np.float32)
+    most = int(blocks.max())
+    if most > 1:
+        e, a = np.exp(each - each.max(axis=2, keepdims=True)), np.exp(moves)
+        long = np.flatnonzero(np.repeat(blocks, blocks) > 1)
+        place = np.full(len(size), -1)
+        place[long] = np.arange(len(long))
+        across = np.eye(labels, dtype=np.float32) * e[long, 0][:, None, :]
+        for t in range(1, step.shape[1]):
+            now = (across @ a) * e[long, t][:, None, :]
+            now /= now.sum(axis=(1, 2), keepdims=True)
+            across = np.where((t < size[long])[:, None, None], now, across)
+        for r in range(1, most):
+            to = first[blocks > r] + r
+            now = np.einsum("nl,nlm->nm", enter[to - 1], across[place[to - 1]]) @ a
+            enter[to] = now / now.sum(axis=1, keepdims=True)
+        for r in range(2, most + 1):
+            to = ends[blocks >= r] - r
+            now = np.einsum("nlm,nm->nl", across[place[to + 1]], leave[to + 1]) @ a.T
+            leave[to] = now / now.sum(axis=1, keepdims=True)
+    inside = forward_backward(each, moves, size, enter, leave)[0].sum(axis=1, dtype=np.float64)
+    return np.add.reduceat(inside, first, axis=0)
 
 
 class Labeller:
@@ -207,13 +249,8 @@ class Labeller:
                 continue
             rows = self.rows([w for words in split for w in words])
             share = np.zeros((len(part), len(self.field.labels)))
-            begins = np.cumsum(count) - count
-            for group in alike(count):  # a text is a chain
-                size = count[group]
-                step = np.arange(size.max()) < size[:, None]
-                score = np.zeros((*step.shape, len(self.field.labels)), np.float32)
-                score[step] = self.table[rows[np.concatenate([np.arange(begins[i], begins[i] + count[i]) for i in group])]]
-                share[group] = forward_backward(score, self.field.moves, size)[0].sum(axis=1, dtype=np.float64)
+            some = count > 0
+            share[some] = marginals(self.table[rows], self.field.moves, count[some])  # a text is a chain
             share /= np.maximum(count, 1)[:, None]
             for n, s in zip(count, share):
                 best = int(s.argmax())
@@ -249,7 +286,7 @@ def fitted(docs: DataFrame) -> Field:
     some = F.substring(F.col("text"), 1 + F.pmod(spot, F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int"), F.lit(SPAN))
     # The first of each share are ranked before the first of all, so that a language of any size is many groups and leaves SHARES * SAMPLE rows.
     picked = rows.select("doc_id", "lang", "mark", spot.alias("spot")).withColumn("share", F.pmod(F.shiftright("spot", 32), F.lit(SHARES)))
-    for group in (["lang", "share"], ["lang"]):
+    for group in (["lang", "share"], ["lang", F.pmod("share", F.lit(8))], ["lang"]):
         ordered = F.row_number().over(Window.partitionBy(*group).orderBy("spot", "doc_id", "mark"))
         picked = picked.withColumn("n", ordered).filter(F.col("n") <= each)
     key = ["doc_id", "lang", "mark"]

@@ -319,8 +319,22 @@ def test_7_learns_every_label():
     assert len(field.labels) == 70
     said = language_id.Labeller(field).predict([t for _, t in sample] + [sample[5][1] + (" " + sample[5][1]) * 74])
     assert [s[0] for s in said[:-1]] == [lang for lang, _ in sample] and said[-1][0] == sample[5][0]
-    chains = language_id.alike(__import__("numpy").array([0, 1, 2, 3, 4, 9000, 5]))
-    assert sorted(i for g in chains for i in g) == [1, 2, 3, 4, 5, 6]
+
+
+def test_7_blocks_of_a_chain_give_its_marginals():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for labels in (1, 3, 40):
+        moves = rng.normal(size=(labels, labels)).astype(np.float32)
+        count = np.array([1, 400, 48, 49, 96, 2, 700 * max(1, labels // 8)])
+        score = rng.normal(size=(count.sum(), labels)).astype(np.float32) * 2
+        got = language_id.marginals(score, moves, count)
+        at = 0
+        for n, share in zip(count, got):
+            whole = language_id.forward_backward(score[None, at : at + n], moves, np.array([n]))[0][0].sum(axis=0)
+            assert np.allclose(whole, share, rtol=2e-3, atol=2e-3)
+            at += n
 
 
 def test_7_forward_backward():
@@ -565,8 +579,29 @@ def linked_by_brute_force(texts, size=5, similarity=0.8):
     return {i: top(i) for i in linked}
 
 
-def test_near_copies_in_an_alike_crowd(spark):
-    """Texts of one template, alike at 0.7, with pairs at 0.88 inside: no pair is lost though every list is long."""
+def test_near_copies_of_documents(spark):
+    """All documents of sf0.01: what is linked is what exact Jaccard similarity of all pairs links; recall 1."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    at = {}
+    for d, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(d)
+    pairs = {p for ids in at.values() for p in itertools.combinations(sorted(ids), 2)}
+    links = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    linked = {d for p in links for d in p}
+    want = brute_components(sorted(linked), lambda a, b: (a, b) in links)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 50 and got == want
+
+
+@pytest.mark.parametrize("tile", [near_copies.TILE, 2000])
+def test_near_copies_in_an_alike_crowd(spark, monkeypatch, tile):
+    """Texts of one template, alike at 0.7, with pairs at 0.88 inside: no pair is lost though every list is long; in one tile, and in many."""
+    monkeypatch.setattr(near_copies, "TILE", tile)
     rng = random.Random(4)
     fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
     base = fresh(144)
