@@ -10,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GAP = re.compile(r"(?<=\S)\*\*[ \t]*\*\*(?=\S)")
+#: What closes a bold span and opens the next, with the blanks between.
+GAP = re.compile(r"(?<=\S)\*\*([ \t]*)\*\*(?=\S)")
+#: A line's first bold span, with what touches it.
+FIRST_SPAN = re.compile(r"^([ \t]*\*\*(?:(?!\*\*).)*\*\*)(?=\S)", re.MULTILINE)
+MATERIAL = re.compile(r"\n(?=## 材料 \d+:)")
 
 
 class Writer(HTMLParser):
@@ -94,63 +98,73 @@ def to_markdown(html: str | None) -> str | None:
 
 
 def merged_bold(text: str) -> str:
-    """Bold spans with nothing but blanks between become one, until nothing changes."""
-    while (once := GAP.sub("", text)) != text:
+    """Bold spans with nothing but blanks between become one, the blanks stay, until nothing changes."""
+    while (once := GAP.sub(r"\1", text)) != text:
         text = once
     return text
 
 
 def edged(c: str) -> bool:
-    return c == "_" or unicodedata.category(c)[0] in "PZ"
+    return c == "_" or c.isspace() or unicodedata.category(c)[0] in "PZ"
 
 
-def spaced_bold(line: str) -> str:
-    """Walks pairs of ``**``; a span that has punctuation at an edge is set apart from the word it touches."""
-    parts = line.split("**")
-    if len(parts) < 3:
-        return line
-    out = parts[0]
-    for i in range(1, len(parts) - 1, 2):
-        span, after = parts[i], parts[i + 1]
-        left = bool(span and out and edged(span[0]) and not out[-1].isspace() and not edged(out[-1]))
-        right = bool(span and after and edged(span[-1]) and not after[0].isspace() and not edged(after[0]))
-        out += " " * left + "**" + span + "**" + " " * right + after
-    return out + ("**" + parts[-1] if len(parts) % 2 == 0 else "")
+def spaced_bold(text: str) -> str:
+    """Walks pairs of ``**``; a span that has punctuation or a blank at an edge is set apart from what it touches there."""
+    parts = text.split("**")
+    pairs = (len(parts) - 1) // 2
+    out = []
+    for i in range(pairs):
+        before, span, after = parts[2 * i : 2 * i + 3]
+        left = bool(span and before and edged(span[0]) and not before[-1].isspace())
+        touched = after[:1] or ("*" if 2 * i + 3 < len(parts) else "")
+        right = bool(span and touched and edged(span[-1]) and not touched.isspace())
+        out.append(before + " " * left + "**" + span + "**" + " " * right)
+    return "".join(out) + "**".join(parts[2 * pairs :])
+
+
+def spaced_first_bold(text: str) -> str:
+    """A space after a bold span that a line begins with, where text follows at once."""
+    return FIRST_SPAN.sub(r"\1 ", text)
 
 
 def normal_bold(text: str | None) -> str | None:
-    """X20, X21, X22 in this order."""
-    return None if text is None else "\n".join(map(spaced_bold, merged_bold(text).split("\n")))
+    """X20, X21 and X22 in this order."""
+    return None if text is None else spaced_first_bold(spaced_bold(merged_bold(text)))
 
 
 def packed(blocks: list[str], most: int) -> list[str]:
-    """Blocks in order into chunks of at most ``most`` characters, joined by blank lines; a larger block is cut into slices."""
+    """Blocks in order into chunks of up to ``most`` characters of blocks, a line each, trimmed; a larger block is cut into slices."""
     out: list[str] = []
-    now = ""
+    now: list[str] = []
     for b in blocks:
+        if now and sum(map(len, now)) + len(b) > most:
+            out.append("\n".join(now).strip())
+            now = []
         if len(b) > most:
-            out += [now] if now else []
-            now = ""
             out += [b[i : i + most] for i in range(0, len(b), most)]
-        elif now and len(now) + 2 + len(b) > most:
-            out.append(now)
-            now = b
         else:
-            now = f"{now}\n\n{b}" if now else b
-    return out + [now] if now else out
+            now.append(b)
+    out.append("\n".join(now).strip())
+    return [c for c in out if c.strip()]
+
+
+def material_chunks(text: str, most: int) -> list[str]:
+    """A digest's source text, whole if it fits, else its numbered materials packed."""
+    return [text] if len(text) <= most else packed(MATERIAL.split(text), most)
 
 
 def newline_chunks(text: str, most: int) -> list[str]:
-    """Chunks of at most ``most`` characters, ending at the last line break if it lies past half of the chunk."""
+    """Chunks of at most ``most`` characters, trimmed, that end before the last line break if it lies past half; blank ones go."""
+    if len(text) <= most:
+        return [text]
     out, at = [], 0
     while at < len(text):
-        end = min(at + most, len(text))
-        cut = text.rfind("\n", at, end)
-        if end < len(text) and cut > at + most // 2:
-            end = cut + 1
-        out.append(text[at:end])
+        end = at + most
+        cut = text.rfind("\n", at, end) if end < len(text) else -1
+        end = cut if cut > at + most // 2 else end
+        out.append(text[at:end].strip())
         at = end
-    return out
+    return [c for c in out if c]
 
 
 def mapped(f, kind: str):
@@ -170,3 +184,4 @@ html_to_markdown = mapped(to_markdown, "string")
 bold_normalised = mapped(normal_bold, "string")
 newline_chunked = mapped(newline_chunks, "array<string>")
 paragraphs_packed = mapped(lambda t, most: packed([p for p in re.split(r"\n+", t) if p], most), "array<string>")
+materials_packed = mapped(material_chunks, "array<string>")

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -104,12 +109,23 @@ def compact_date(text: Column, as_of: str) -> Column:
 
 
 def without_thinking(c: Column) -> Column:
-    """<think> and <thinking> blocks go."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""), r"^\s+|\s+$", "")
+    """<think> blocks go, then <thinking> ones, then white space at both ends."""
+    return trimmed(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?is)<thinking>.*?</thinking>", ""))
 
 
 #: Phrases by which a model's answer is a refusal, matched without regard to case.
-REFUSALS = ("i cannot", "i can't", "as an ai", "无法提供", "无法回答", "抱歉")
+REFUSALS = ("无法处理", "无法回答", "没有提供", "未提供文本", "作为一个AI", "as an ai")
+
+
+def answer_ok(c: Column, least: int = 20) -> Column:
+    """struct<ok, reason> of a model's answer, with the reasons that reports show."""
+    answer = without_thinking(F.coalesce(c, F.lit("")))
+    said = lambda ok, reason: F.struct(F.lit(ok).alias("ok"), reason.alias("reason"))
+    out = said(True, F.lit(""))
+    for phrase in reversed(REFUSALS):
+        out = F.when(F.lower(answer).contains(phrase.lower()), said(False, F.lit(f"AI 响应疑似失败话术: {phrase}"))).otherwise(out)
+    short = F.concat(F.lit("AI 响应过短（"), F.length(answer).cast("string"), F.lit(" 字符）"))
+    return F.when(F.length(answer) < least, said(False, short)).otherwise(out)
 
 
 def quality(c: Column, least: int, refusals=REFUSALS) -> Column:

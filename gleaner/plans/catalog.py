@@ -277,7 +277,7 @@ def q_first_run_claims(t):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY lower(text)")
 def q_dedupe_keep_first(t):
-    return t("documents").groupBy(F.lower("text").alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
+    return t("documents").groupBy(F.sha2(F.lower("text"), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
 
 
 @query("""

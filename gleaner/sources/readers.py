@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,20 @@ def write_versioned(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
+def drop_version(spark: SparkSession, path: str, version: int) -> None:
+    """K1: an old version goes, in whatever store the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version:08d}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or, on a local master without it, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named}/gleaner-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gleaner-")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Reports and logs as lines of JSON."""
     df.write.mode("append").json(path)

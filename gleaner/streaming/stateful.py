@@ -9,17 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.sources.readers import merge_state, write_versioned
+from gleaner.sources.readers import drop_version, merge_state, write_versioned
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str):
-    """Each micro-batch is merged into the newest version of a state table; a replayed batch rewrites its own version."""
+def upsert_stream(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, kept: int = 2):
+    """Each micro-batch is merged into the newest version of a state table; a replayed batch rewrites its own version.
+
+    The last ``kept`` versions stay. A new checkpoint needs a new path.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = batch.selectExpr("*").dropDuplicates(keys).limit(0)
-        old = spark.read.parquet(f"{path}/v={number - 1:08d}") if number else first
-        write_versioned(merge_state(old, merge_state(first, batch, keys, order), keys, order), path, number)
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("v")).select(*keys, "v.*")
+        merged = merge_state(spark.read.parquet(f"{path}/v={number - 1:08d}"), newest, keys, order) if number else newest
+        write_versioned(merged, path, number)
+        if number >= kept:
+            drop_version(spark, path, number - kept)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -31,6 +36,18 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={newest:08d}")
 
 
+def last_states(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an update-mode stream over what is there, and returns each key's last row: of the latest batch that had one."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/n={number:08d}")
+
+    stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path).drop("n")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
 def cooldown_stream(stream: DataFrame, least: int = 3, seconds: int = 300, delay: str = "300 seconds") -> DataFrame:
     """T5: per user_id, the streak of errors so far; open while it is at least ``least`` and the last error is under ``seconds`` old.
 

@@ -10,8 +10,13 @@ def one(spark, c, **values):
 
 def test_bold():
     assert markdown.normal_bold("a **b****c** d") == "a **bc** d"
-    assert markdown.normal_bold("plain") == "plain"
+    assert markdown.normal_bold("plain") == "plain" and markdown.normal_bold("") == ""
+    assert markdown.merged_bold("**Q** **：** hi") == "**Q ：** hi"
     assert markdown.normal_bold("x**“y”**z") == "x **“y”** z"
+    assert markdown.normal_bold("前文，**：重点**后文") == "前文， **：重点**后文"
+    assert markdown.normal_bold("**标题**正文\n- **日期**: x\n  **a** b") == "**标题** 正文\n- **日期**: x\n  **a** b"
+    assert markdown.normal_bold("one ** only") == "one ** only"
+    assert markdown.normal_bold("a **x,** b **y.**c **z") == "a **x,** b **y.** c **z"
     assert markdown.normal_bold(None) is None
 
 
@@ -22,10 +27,13 @@ def test_html():
 
 
 def test_chunks():
-    assert markdown.packed(["aa", "bb", "c" * 7], 6) == ["aa\n\nbb", "cccccc", "c"]
+    assert markdown.packed(["aa", "bb", "c" * 7], 6) == ["aa\nbb", "cccccc", "c"]
     assert markdown.packed([], 5) == []
-    assert markdown.newline_chunks("aaaa\nbb\ncc", 6) == ["aaaa\n", "bb\ncc"]
-    assert "".join(markdown.newline_chunks("x" * 23 + "\n" + "y" * 9, 8)) == "x" * 23 + "\n" + "y" * 9
+    assert markdown.material_chunks("## 材料 1: a\nx\n## 材料 2: b\ny", 14) == ["## 材料 1: a\nx", "## 材料 2: b\ny"]
+    assert markdown.material_chunks("short", 14) == ["short"]
+    assert markdown.newline_chunks("aaaa\nbb\ncc", 6) == ["aaaa", "bb\ncc"]
+    assert markdown.newline_chunks(" ab ", 6) == [" ab "]
+    assert markdown.newline_chunks("x" * 8 + " " * 8 + "y", 8) == ["x" * 8, "y"]
 
 
 def test_columns(spark):
