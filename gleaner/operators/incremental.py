@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from gleaner.sources.readers import work_folder
 
 
 def take_while_unknown(items: DataFrame, source: str, order: list[Column], known: Column) -> DataFrame:
@@ -12,12 +19,38 @@ def take_while_unknown(items: DataFrame, source: str, order: list[Column], known
     return items.withColumn("_seen", F.max(known.cast("int")).over(w)).filter("_seen = 0").drop("_seen")
 
 
-def incremental_select(items: DataFrame, source: str, order: list[Column], known: Column, new_cap: int = 3, known_cap: int = 10) -> DataFrame:
-    """Sources without a known item give their newest ``new_cap`` items, others up to ``known_cap`` before their first known one."""
-    every = Window.partitionBy(source)
-    running = every.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = items.withColumn("_seen", F.max(known.cast("int")).over(running)).withColumn("pos", F.row_number().over(every.orderBy(*order)).cast("long")).withColumn("is_new", F.max(known.cast("int")).over(every) == 0)
-    return marked.filter((F.col("_seen") == 0) & (F.col("pos") <= F.when(F.col("is_new"), new_cap).otherwise(known_cap))).drop("_seen")
+def incremental_select(items: DataFrame, source: str, order: list[str], known: Column, new_cap: int = 3, known_cap: int = 10) -> DataFrame:
+    """Sources without a known item give their newest ``new_cap`` items, others up to ``known_cap`` before their first known one.
+
+    Newest is greatest in the columns ``order``. Adds pos (from 1) and is_new. What is before the first known item is what is newer than the
+    newest known one, a partial maximum; and only so many rows a source and task are shuffled to be ranked.
+    """
+    last = items.filter(known).groupBy(F.col(source).alias("_of")).agg(F.max(F.struct(*order)).alias("_last"))
+    newer = items.join(last, F.col(source).eqNullSafe(F.col("_of")), "left").filter(F.col("_last").isNull() | (F.struct(*order) > F.col("_last")))
+    ranked = newer.withColumn("pos", F.row_number().over(Window.partitionBy(source).orderBy(*map(F.desc, order))).cast("long")).filter(F.col("pos") <= max(new_cap, known_cap))
+    marked = ranked.withColumn("is_new", F.col("_last").isNull())
+    return marked.filter(F.col("pos") <= F.when(F.col("is_new"), new_cap).otherwise(known_cap)).drop("_of", "_last")
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the running sum of a value within each key, in a total order, so that no key is one task, not even all rows under no key.
+
+    Rows are range-partitioned by key and order, and written; sums of what earlier partitions have of a key (a row a key and partition) are
+    added to the sums within each.
+    """
+    spark = rows.sparkSession
+    path = work_folder(spark)
+    cut = [F.col(k).asc_nulls_first() for k in keys] + order
+    rows.withColumn("_value", value).repartitionByRange(*cut).withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    parts = spark.read.parquet(path)
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return parts.withColumn("_inside", inside).join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).select(*rows.columns, name)
 
 
 def unprocessed(items: DataFrame, history: DataFrame, key: str, per: str | None = None, most: int | None = None, order: list[Column] = ()) -> DataFrame:
@@ -87,24 +120,55 @@ def first_claims(events: DataFrame, keys: list[str], period: Column, ts: str, is
 
 def cumulative_trim(rows: DataFrame, key: str, order: list[Column], size: Column, budget: int) -> DataFrame:
     """Of each key the newest rows while their sizes sum up to half of the budget."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget // 2)
+    return running_sum(rows, [key], order, size, "used").filter(F.col("used") <= budget // 2)
 
 
 def suffixed(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """Names that collide get _1, _2, … after the first."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    n = F.col("_n") - 1
+    unique = F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string")))
+    return running_sum(rows, [name], order, F.lit(1).cast("long"), "_n").withColumn("unique_name", unique).drop("_n")
+
+
+#: Bytes of phrases that are looked for in one pass over the texts.
+PHRASES = 32 << 20
 
 
-def containment(docs: DataFrame, text: str, phrases: DataFrame, phrase: str, head: int = 5) -> DataFrame:
-    """Which text contains which phrase, as an equi-join on the phrases' first words and a check, not a cross join.
+def containment(docs: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """The rows of docs (without text) with those of phrases that their text contains; phrases of any length but 0.
 
-    Words are split at spaces. A phrase's second to next-to-last of its first ``head`` words stand whole in any text that contains it, so they
-    are the key; phrases of fewer than ``head`` words are not looked for.
+    An Aho-Corasick automaton of the phrases goes to the tasks and reads each text once: nothing is shuffled but what is found. Phrases of
+    more than PHRASES bytes are looked for in as many passes as they need.
     """
-    words = lambda c: F.split(c, " ")
-    p = phrases.withColumn("_w", words(F.col(phrase))).filter(F.size("_w") >= head).withColumn("_k", F.array_join(F.slice("_w", 2, head - 2), " ")).drop("_w")
-    n = F.size("_w") - (head - 2)
-    d = docs.withColumn("_w", words(F.col(text))).withColumn("_k", F.explode(F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, head - 2), " ")))).otherwise(F.array().cast("array<string>")))).drop("_w")
-    return d.join(p, "_k").filter(F.col(text).contains(F.col(phrase))).drop("_k").distinct()
+    wanted = phrases.select(F.col(phrase).alias("_p")).filter("length(_p) > 0").distinct()
+    total = wanted.agg(F.sum(F.octet_length("_p"))).first()[0] or 0
+    passes = max(1, -(-total // PHRASES))
+    kept = [f for f in docs.schema if f.name != text]
+    names = [f.name for f in kept]
+    found = []
+    for i in range(passes):
+        part = [r[0] for r in wanted.filter(F.pmod(F.xxhash64("_p"), F.lit(passes)) == i).collect()]  # PHRASES bytes, about
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+        found.append(docs.select(*names, F.col(text).alias("_t")).mapInArrow(lambda batches, sent=sent: phrase_hits(batches, names, sent.value), StructType([*kept, StructField("_p", StringType())])))
+    return reduce(DataFrame.unionByName, found).join(phrases, F.col("_p") == F.col(phrase)).drop("_p")
+
+
+def phrase_hits(batches: Iterator[pa.RecordBatch], names: list[str], phrases: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (names, _t) to rows (names, _p): one for each phrase that the text contains."""
+    import ahocorasick
+
+    if not phrases:
+        return
+    automaton = ahocorasick.Automaton()
+    for p in phrases:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    for batch in batches:
+        row, hit = [], []
+        for i, t in enumerate(batch.column("_t")):
+            if t.is_valid:
+                inside = sorted({p for _, p in automaton.iter(t.as_py())})
+                row += [i] * len(inside)
+                hit += inside
+        others = batch.select(names).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*others.columns, pa.array(hit, pa.string())], [*names, "_p"])

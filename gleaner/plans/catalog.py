@@ -39,7 +39,7 @@ def newest_orders() -> list:
     SELECT o_custkey, o_orderkey, c_mktsegment, pos, is_new FROM m JOIN customer ON o_custkey = c_custkey
     WHERE seen = 0 AND pos <= CASE WHEN is_new THEN 3 ELSE 10 END""")
 def q_incremental_select(t):
-    chosen = inc.incremental_select(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"), "o_custkey", newest_orders(), F.col("o_orderstatus") == "F")
+    chosen = inc.incremental_select(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"), "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "F")
     return chosen.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_mktsegment", "pos", "is_new")
 
 
@@ -261,9 +261,8 @@ def q_week_membership(t):
     WHERE CAST(ts AS DATE) = DATE '{WEEK}' AND event_type IN ('view', 'click', 'purchase') GROUP BY user_id)""")
 def q_daily_digest_docs(t):
     day = t("events").filter((F.col("ts").cast("date") == F.lit(WEEK).cast("date")) & F.col("event_type").isin("view", "click", "purchase"))
-    # One row a user and day: numbering a digest's sections is its feature.
     one = day.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return one.withColumn("n", F.row_number().over(Window.orderBy("user_id", "event_id")).cast("long"))
+    return inc.running_sum(one, [], [F.col("user_id"), F.col("event_id")], F.lit(1).cast("long"), "n")
 
 
 @query("""
@@ -356,8 +355,8 @@ def q_fixed_chunks(t):
 
 @query("SELECT source, n // 50 AS batch, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY source, n // 50")
 def q_batches(t):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return t("documents").select("source", "doc_id").withColumn("batch", F.floor(n / 50)).groupBy("source", "batch").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    numbered = inc.running_sum(t("documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], F.lit(1).cast("long"), "n")
+    return numbered.withColumn("batch", F.floor((F.col("n") - 1) / 50)).groupBy("source", "batch").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query()

@@ -71,11 +71,17 @@ def drop_version(spark: SparkSession, path: str, version: int) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or, on a local master without it, a temporary one."""
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or, on a local master without it, a temporary one.
+
+    It is deleted when the driver ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named}/gleaner-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gleaner-")
+    folder = f"{named}/gleaner-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gleaner-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -21,6 +21,31 @@ def test_take_while_is_no_anti_join(spark):
     assert sorted(map(tuple, take_while_unknown(rows, "s", [F.desc("n")], F.col("k") == "old").select("s", "n").collect())) == [(1, 3), (2, 1)]
 
 
+def test_containment_finds_phrases_of_any_length(spark, monkeypatch):
+    from gleaner.operators import incremental as inc
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta eps zeta"), (2, "xalpha bet"), (3, None), (4, "")], "id long, t string")
+    phrases = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "beta gamma", "beta gamma delta", "lph", "alpha beta gamma delta eps", "nothing", "", None, "beta gamma"])], "n long, p string")
+    want = sorted((d.id, q.n) for d in docs.collect() for q in phrases.collect() if d.t and q.p and q.p in d.t)
+    for size in (inc.PHRASES, 10):
+        monkeypatch.setattr(inc, "PHRASES", size)
+        assert sorted((r.id, r.n) for r in inc.containment(docs, "t", phrases, "p").collect()) == want
+
+
+def test_running_sum_has_no_group_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators.incremental import running_sum
+
+    rows = spark.range(1000).selectExpr("if(id < 700, 'hot', if(id < 900, null, 'x')) AS k", "id", "id % 7 AS v").repartition(5)
+    for keys in (["k"], []):
+        got = {r.id: r.s for r in running_sum(rows, keys, [F.desc("id")], F.col("v"), "s").collect()}
+        sums, want = {}, {}
+        for r in sorted(rows.collect(), key=lambda r: -r.id):
+            sums[r.k if keys else 0] = want[r.id] = sums.get(r.k if keys else 0, 0) + r.v
+        assert got == want
+
+
 def test_entry_without_llm():
     """Where the llm subpackage and the pipeline are missing the entry module still gives all other queries."""
     import subprocess
