@@ -11,7 +11,7 @@ def odd(spark):
     texts = [None, "", "  \t\n", "a", "a", "A b c", words, "x " + words, words, "é" * 3000 + " 漢字 " + "z" * 5000, "1234 !!", words + " tail one two", "a", "<|endoftext|> it's"]
     rows = [(i * 3, t, "en" if i % 2 else None, None if i % 5 == 0 else f"s{i % 3}", 0) for i, t in enumerate(texts)]
     rows += [rows[6], rows[3], (None, "a", "en", "s1", 0), (None, None, None, None, None)]
-    return spark.createDataFrame([Row(*r) for r in rows], SCHEMA).selectExpr("*", "1 AS size", "'q' AS target", "2 AS row", "3 AS h", "4 AS block", "5 AS fp", "6 AS n", "7 AS score", "8 AS at")
+    return spark.createDataFrame([Row(*r) for r in rows], SCHEMA).selectExpr("*", "1 AS size", "'q' AS target", "2 AS row", "3 AS h", "4 AS block", "5 AS fp", "6 AS n", "7 AS score", "8 AS at", "'i' AS id", "'j' AS _id", "'k' AS sha", "'l' AS _sha", "'m' AS _said", "'n' AS said", "9 AS mark", "10 AS _row")
 
 
 @pytest.fixture(scope="session")

@@ -2,8 +2,12 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gleaner.llm import mixing
+from test_operators import linked_by_brute_force, plain_queueing
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -24,9 +28,14 @@ def test_stages(spark, odd):
         best[r.text] = max(best.get(r.text, -1), r.doc_id)
     assert Counter((r.text, r.doc_id) for r in b.collect()) == Counter(best.items())
     c = written(named["simhash_near_dedup"](spark, b, SF))
-    assert c.columns == columns and c.count() <= b.count()
+    want = linked_by_brute_force([(r.doc_id, (r.text or "").lower()) for r in b.collect()])
+    gone = {i for i, first in want.items() if i != first}
+    assert gone and c.columns == columns and Counter(r.doc_id for r in c.collect()) == Counter(r.doc_id for r in b.collect() if r.doc_id not in gone)
     d = written(named["mixing"](spark, c, SF))
-    assert d.columns == columns and max(Counter(r.doc_id for r in d.collect()).values()) <= 2
+    sized = c.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(7)).alias("spot"))
+    target = {r.source: r.target for r in mixing.targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).collect()}
+    want = plain_queueing([(r.doc_id, r.source, r["size"], r.spot, target[r.source]) for r in sized.collect()])
+    assert d.columns == columns and Counter(r.doc_id for r in d.collect()) == +want and max(want.values()) <= 2
     e = named["bpe_codec"](spark, d, SF)
     assert e.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "same"]
     codec = Tokenizer.from_file(public_tokenizers.path(pipeline.TOKENIZER))
