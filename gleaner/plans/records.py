@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import text
 from gleaner.operators import records as rec
 from gleaner.plans.catalog import query
+from gleaner.sources.readers import settings
 
 AS_OF = "2024-01-31"
 #: A line's place in its order, alone.
@@ -237,3 +239,22 @@ def q_settings(t):
 def q_caseless_order(t):
     """O3: names in order without regard to case; a region's names are few."""
     return t("nation").select(F.lower("n_name").alias("sorted_name")).withColumn("n", F.row_number().over(Window.orderBy("sorted_name")).cast("long"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS title,
+        CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || ', ' || o_orderpriority ELSE o_orderpriority || ', x' END AS tags FROM orders""")
+def q_metadata_values(t):
+    """P1 and P2."""
+    o, unknown = F.col("o_orderkey"), F.lit(" 未知 ")
+    title = text.first_text(F.when(o % 3 == 0, "  ").otherwise(F.col("o_orderpriority")), F.lit(None).cast("string"), F.col("o_orderstatus"))
+    even = F.array(F.concat(F.lit(" "), "o_orderstatus"), unknown, "o_orderpriority", "o_orderstatus")
+    odd = F.array(F.lit("无"), "o_orderpriority", F.lit(None).cast("string"), F.lit("x "), "o_orderpriority")
+    return t("orders").select("o_orderkey", title.alias("title"), text.joined_distinct(F.when(o % 2 == 0, even).otherwise(odd)).alias("tags"))
+
+
+@query("SELECT k.key, coalesce(nullif(trim(v.n_name), ''), k.fallback) AS value FROM (VALUES ('key1', 'a'), ('key99', 'b')) k(key, fallback) LEFT JOIN (SELECT 'key' || n_nationkey AS key, n_name FROM nation) v ON k.key = v.key")
+def q_settings_defaults(t):
+    """S20."""
+    pairs = t("nation").select(F.concat(F.lit("key"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
+    return settings(pairs, {"key1": "a", "key99": "b"})
