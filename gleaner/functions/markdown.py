@@ -185,3 +185,17 @@ bold_normalised = mapped(normal_bold, "string")
 newline_chunked = mapped(newline_chunks, "array<string>")
 paragraphs_packed = mapped(lambda t, most: packed([p for p in re.split(r"\n+", t) if p], most), "array<string>")
 materials_packed = mapped(material_chunks, "array<string>")
+
+
+def width_of(text: str) -> int:
+    """Columns that a terminal needs: two for wide characters, none for combining ones and colour codes."""
+    shown = re.sub(r"\x1b\[[0-9;?]*[A-Za-z]", "", text)
+    return sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in shown if not unicodedata.combining(c))
+
+
+def display_width(c: Column) -> Column:
+    @F.arrow_udf("long")
+    def widths(texts: pa.Array) -> pa.Array:
+        return pa.array([width_of(t.as_py()) if t.is_valid else None for t in texts], pa.int64())
+
+    return widths(c)

@@ -261,3 +261,10 @@ def q_read_flags(t):
     """F5 and X52."""
     note = F.expr(NOTE + " || CASE WHEN doc_id % 3 = 1 THEN chr(10) || '- [x] **是否已读**' ELSE '' END")
     return t("documents").select("doc_id", note.alias("note")).select("doc_id", text.is_read(F.col("note")).alias("is_read"), text.front_matter(F.col("note"), "日期").alias("day"))
+
+
+@query("SELECT o_orderkey, CAST(length(o_orderpriority) + 2 * (o_orderkey % 3) AS BIGINT) AS width FROM orders")
+def q_display_width(t):
+    """X32."""
+    shown = F.concat(F.lit("\x1b[31m"), "o_orderpriority", F.lit("\x1b[0m"), F.substring(F.lit("中文"), F.lit(1), (F.col("o_orderkey") % 3).cast("int")))
+    return t("orders").select("o_orderkey", markdown.display_width(shown).alias("width"))
