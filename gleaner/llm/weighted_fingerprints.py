@@ -12,16 +12,20 @@ known from the blocks' bounds, which are ids that occur: a document whose id is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.shared import WORD, sha_longs, sha_text
 
-SAMPLES = 24
+SAMPLES = 64
+#: Samples of a row: the code for wider rows takes long to compile.
+PART = 32
 #: Bits of a sample in the fingerprint; the rest of its long is the draw.
 SIGN_BITS = 24
-#: Documents of a block, about; BLOCKS bounds the list of bounds.
-BLOCK_ROWS, BLOCKS = 250, 20_000
+#: Documents of a block, about; BLOCKS bounds the list of bounds, which all tasks hold (8 bytes each). With more documents, blocks are larger.
+BLOCK_ROWS, BLOCKS = 250, 400_000
 
 
 def draw(h: str) -> str:
@@ -46,11 +50,21 @@ def draw(h: str) -> str:
     return f"case when weight = 0D then {ranked('0L', f'{log_c} + {minus_r} * (1D - {b})')} else {ranked(t, f'{log_c} + {minus_r} * ({t} - {b} + 1D)')} end"
 
 
-def signature(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, which, word: a hash) to keys, which, the samples, and ``word``: the greatest, which is the word where there is one."""
-    counted = rows.groupBy(*keys, "which", "word").agg(F.count("*").alias("n"))
-    hashed = counted.select(*keys, "which", "word", F.ln(F.col("n").cast("double")).alias("weight"), *[F.expr(f"xxhash64(word, {k})").alias(f"h{k}") for k in range(SAMPLES)])
-    return hashed.groupBy(*keys, "which").agg(*[F.expr(f"min({draw(f'h{k}')})").alias(f"s{k}") for k in range(SAMPLES)], F.max("word").alias("word"))
+def signature(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """rows (keys, which, word: a hash) to keys, which, part, PART samples each, and ``word``: the greatest, which is the word where there is one.
+
+    Texts that hold a word equally often share its draws: they are made once for all texts with the same ``within`` (some of the keys, all
+    unless given), whose number must be bounded, and then given to each.
+    """
+    within = keys if within is None else within
+    own = [k for k in keys if k not in within]
+    counted = rows.groupBy(*keys, "which", "word").agg(F.ln(F.count("*").cast("double")).alias("weight"))
+    # The draws are results of this aggregate, whose code Spark splits; that of a projection grows too large.
+    drawn = counted.groupBy(*within, "word", "weight").agg(F.collect_list(F.struct(*own, "which")).alias("at"), *[F.expr(draw(f"xxhash64(word, {k})")).alias(f"s{k}") for k in range(SAMPLES)])
+    parts = F.explode(F.array(*[F.struct(F.lit(j).alias("part"), *[F.col(f"s{j * PART + k}").alias(f"s{k}") for k in range(PART)]) for j in range(SAMPLES // PART)]))
+    each = drawn.select(*within, "at", "word", parts.alias("x")).select(*within, F.explode("at").alias("p"), "word", "x.*")
+    names = [F.col(f"p.{c}").alias(c) for c in (*own, "which")]
+    return each.groupBy(*within, *names, "part").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(PART)], F.max("word").alias("word"))
 
 
 def text_of(samples: list[Column]) -> Column:
@@ -79,15 +93,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if not n:
         bounds, top = [], lowest
     else:
-        blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
-        bounds = sorted({int(b) for b in rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0]} - {top}) if blocks > 1 else []
+        bounds = bounds_of(rows.select("id"), max(1, min(BLOCKS, n // BLOCK_ROWS)), top)
     # Block i has the ids above bound i - 1, up to bound i; the last one those above all bounds.
-    listed = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.expr("array()").cast("array<long>")
-    number = block_number(F.col("id"), bounds)
-    places = F.array(F.struct(number.alias("block"), F.lit(False).alias("guest"), F.lit(False).alias("after")))
-    if bounds:
-        places = F.concat(places, F.when(F.array_contains(listed, F.col("id")), F.array(F.struct((number + 1).alias("block"), F.lit(True).alias("guest"), F.lit(False).alias("after")))).otherwise(F.expr("array()")))
-    places = F.concat(places, F.when(F.col("id") == top, F.array(F.struct(F.lit(0).alias("block"), F.lit(True).alias("guest"), F.lit(True).alias("after")))).otherwise(F.expr("array()")))
+    nobody, somebody = F.lit(False), F.lit(True)
+    empty = F.expr("array()")
+
+    def places_of(number: Column) -> Column:
+        own = F.array(F.struct(number.alias("block"), nobody.alias("guest"), nobody.alias("after")))
+        if not bounds:
+            return own
+        ahead = F.array(F.struct((number + 1).alias("block"), somebody.alias("guest"), nobody.alias("after")))
+        return F.concat(own, F.when(F.get(listed(bounds), number) == F.col("id"), ahead).otherwise(empty))
+
+    places = F.flatten(F.transform(F.array(block_number(F.col("id"), bounds)), places_of))
+    places = F.concat(places, F.when(F.col("id") == top, F.array(F.struct(F.lit(0).alias("block"), somebody.alias("guest"), somebody.alias("after")))).otherwise(empty))
     placed = rows.select("*", F.explode(places).alias("p")).select("doc_id", "id", "text", "p.block", "p.guest", "p.after")
     dealt = placed.repartition(1 + len(bounds) // 4, "block")
     order = Window.partitionBy("block").orderBy("after", F.desc("id"), "text")
@@ -104,9 +123,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     one = both.select(*keys, F.explode(F.array(*texts, *numbers)).alias("x")).select(*keys, "x.which", "x.t", "x.v")
     words = one.filter("which < 2").select(*keys, "which", F.explode(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))).alias("w")).select(*keys, "which", F.xxhash64("w").alias("word"))
     flat = words.union(one.filter("which >= 2").select(*keys, "which", F.explode("v")))
-    signs = signature(flat, keys).withColumn("f", text_of([F.col(f"s{k}") for k in range(SAMPLES)]))
-    none = F.lit("0" * (SAMPLES * SIGN_BITS // 4))
-    said = [F.coalesce(F.max(F.when(F.col("which") == i, F.col("f"))), none).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))]
+    signs = signature(flat, keys, ["block"]).withColumn("f", text_of([F.col(f"s{k}") for k in range(PART)]))
+    none = F.lit("0" * (PART * SIGN_BITS // 4))
+    part_of = lambda i, j: F.coalesce(F.max(F.when((F.col("which") == i) & (F.col("part") == j), F.col("f"))), none)
+    said = [F.concat(*[part_of(i, j) for j in range(SAMPLES // PART)]).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))]
     told = [F.max(F.when(F.col("which") == 2 + i, F.col("word"))).alias(c) for i, c in enumerate(("doc_id", "n_chars", "guest", "e0", "e1", "e2", "e3"))]
     by_doc = signs.groupBy(*keys).agg(*said, *told)
     following = by_doc.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("pos")))
@@ -116,18 +136,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def bounds_of(ids: DataFrame, blocks: int, top: int) -> list[int]:
+    """Ids that cut the table (id) into about so many blocks, ascending, without the greatest, top: percentiles of percentiles."""
+    coarse = math.isqrt(blocks - 1) + 1
+    fine = -(-blocks // coarse)
+
+    def cut(parts: int) -> Column:
+        return F.percentile_approx("id", [i / parts for i in range(1, parts + 1)], 100 * parts)
+
+    outer = sorted(set(ids.agg(cut(coarse)).first()[0]))[:-1] if coarse > 1 else []
+    inner = ids.groupBy(block_number(F.col("id"), outer).alias("part")).agg(cut(fine).alias("cuts"))
+    return sorted({b for r in inner.collect() for b in r.cuts} - {top})
+
+
+def listed(bounds: list[int]) -> Column:
+    """The bounds as one array literal: written as text, as a column for each would take long to build."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+
+
 def block_number(id_: Column, bounds: list[int]) -> Column:
-    """The number of bounds below the id, by binary search over a literal array (its size is BLOCKS at most)."""
+    """The number of bounds below the id, by binary search (their number is BLOCKS at most)."""
     if not bounds:
         return F.lit(0)
-    listed = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = max(1, len(bounds).bit_length())
     low, high = F.lit(0), F.lit(len(bounds))
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(low.alias("low"), high.alias("high")),
-        lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(
-            F.when(F.get(listed, F.floor((s["low"] + s["high"]) / 2).cast("int")) < id_, F.struct((F.floor((s["low"] + s["high"]) / 2).cast("int") + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), F.floor((s["low"] + s["high"]) / 2).cast("int").alias("high")))
-        ),
-    )
-    return state["low"]
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = F.get(listed(bounds), middle) < id_
+        # low = high stays: beyond the last bound there is nothing below.
+        return F.when(below, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), F.least(middle, s["high"]).alias("high")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), F.struct(low.alias("low"), high.alias("high")), step)
+    return found["low"]

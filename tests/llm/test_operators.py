@@ -275,6 +275,22 @@ def test_6_fingerprints(spark, odd, empty, monkeypatch):
     assert weighted_fingerprints.fingerprints(odd).count() == odd.count() and weighted_fingerprints.fingerprints(empty).count() == 0
 
 
+def test_6_blocks(spark):
+    """Bounds are ids that occur, cut the table evenly, and number each id by how many are below it."""
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    ids = [i * i for i in range(5000)]
+    frame = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    bounds = weighted_fingerprints.bounds_of(frame, 100, ids[-1])
+    assert set(bounds) < set(ids) and ids[-1] not in bounds and 90 <= len(bounds) <= 110
+    got = {r.id: r.b for r in frame.select("id", weighted_fingerprints.block_number(F.col("id"), bounds).alias("b")).collect()}
+    assert got == {i: bisect_left(bounds, i) for i in ids}
+    assert max(Counter(got.values()).values()) < 150
+    assert weighted_fingerprints.bounds_of(frame, 1, ids[-1]) == []
+
+
 def test_6_weights_follow_generalised_jaccard(spark):
     """Words that occur often: the share of agreeing samples, over many pairs, is the similarity."""
     from pyspark.sql import functions as F
@@ -289,7 +305,9 @@ def test_6_weights_follow_generalised_jaccard(spark):
     flat = spark.createDataFrame(rows, "d int, which int, w string").select("d", "which", F.xxhash64("w").alias("word"))
     k = weighted_fingerprints.SAMPLES
     signs = weighted_fingerprints.signature(flat, ["d"]).collect()
-    by = {(r.d, r.which): [r[f"s{i}"] & 0xFFFFFF for i in range(k)] for r in signs}
+    by = {}
+    for r in sorted(signs, key=lambda r: r.part):
+        by.setdefault((r.d, r.which), []).extend(r[f"s{i}"] & 0xFFFFFF for i in range(weighted_fingerprints.PART))
     got = sum(sum(x == y for x, y in zip(by[d, 0], by[d, 1])) / k for d in range(400)) / 400
     assert abs(got - sum(want) / 400) < 0.02
 
