@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import WORD, sha_longs, sha_text
 
 SAMPLES = 64
-#: Samples of a row: the code for wider rows takes long to compile.
-PART = 32
+#: Samples of a row, which divides SAMPLES; wider rows are fewer, but their code takes longer to compile.
+PART = 64
 #: Bits of a sample in the fingerprint; the rest of its long is the draw.
 SIGN_BITS = 24
 #: Documents of a block, about; BLOCKS bounds the list of bounds, which all tasks hold (8 bytes each). With more documents, blocks are larger.
@@ -50,21 +50,22 @@ def draw(h: str) -> str:
     return f"case when weight = 0D then {ranked('0L', f'{log_c} + {minus_r} * (1D - {b})')} else {ranked(t, f'{log_c} + {minus_r} * ({t} - {b} + 1D)')} end"
 
 
-def signature(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
-    """rows (keys, which, word: a hash) to keys, which, part, PART samples each, and ``word``: the greatest, which is the word where there is one.
+def signature(rows: DataFrame, key: str, within: list[str]) -> DataFrame:
+    """rows (within, key: an integer, which: below 16, word: a hash) to within, key, which, part, PART samples each, and ``word``: the
+    greatest, which is the word where there is one.
 
-    Texts that hold a word equally often share its draws: they are made once for all texts with the same ``within`` (some of the keys, all
-    unless given), whose number must be bounded, and then given to each.
+    Texts that hold a word equally often share its draws: they are made once for all texts of a block (with the same ``within``), whose number
+    must be bounded, and then given to each.
     """
-    within = keys if within is None else within
-    own = [k for k in keys if k not in within]
-    counted = rows.groupBy(*keys, "which", "word").agg(F.ln(F.count("*").cast("double")).alias("weight"))
+    # A text within a block is one long: its key, and which of up to 16.
+    text = F.shiftleft(F.col(key).cast("long"), 4).bitwiseOR(F.col("which"))
+    counted = rows.groupBy(*within, text.alias("p"), "word").agg(F.ln(F.count("*").cast("double")).alias("weight"))
     # The draws are results of this aggregate, whose code Spark splits; that of a projection grows too large.
-    drawn = counted.groupBy(*within, "word", "weight").agg(F.collect_list(F.struct(*own, "which")).alias("at"), *[F.expr(draw(f"xxhash64(word, {k})")).alias(f"s{k}") for k in range(SAMPLES)])
+    drawn = counted.groupBy(*within, "word", "weight").agg(F.collect_list("p").alias("at"), *[F.expr(draw(f"xxhash64(word, {k})")).alias(f"s{k}") for k in range(SAMPLES)])
     parts = F.explode(F.array(*[F.struct(F.lit(j).alias("part"), *[F.col(f"s{j * PART + k}").alias(f"s{k}") for k in range(PART)]) for j in range(SAMPLES // PART)]))
     each = drawn.select(*within, "at", "word", parts.alias("x")).select(*within, F.explode("at").alias("p"), "word", "x.*")
-    names = [F.col(f"p.{c}").alias(c) for c in (*own, "which")]
-    return each.groupBy(*within, *names, "part").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(PART)], F.max("word").alias("word"))
+    least = each.groupBy(*within, "p", "part").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(PART)], F.max("word").alias("word"))
+    return least.select(*within, F.shiftright("p", 4).alias(key), F.col("p").bitwiseAND(F.lit(15)).alias("which"), "part", *[f"s{k}" for k in range(PART)], "word")
 
 
 def text_of(samples: list[Column]) -> Column:
@@ -123,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     one = both.select(*keys, F.explode(F.array(*texts, *numbers)).alias("x")).select(*keys, "x.which", "x.t", "x.v")
     words = one.filter("which < 2").select(*keys, "which", F.explode(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))).alias("w")).select(*keys, "which", F.xxhash64("w").alias("word"))
     flat = words.union(one.filter("which >= 2").select(*keys, "which", F.explode("v")))
-    signs = signature(flat, keys, ["block"]).withColumn("f", text_of([F.col(f"s{k}") for k in range(PART)]))
+    signs = signature(flat, "pos", ["block"]).withColumn("f", text_of([F.col(f"s{k}") for k in range(PART)]))
     none = F.lit("0" * (PART * SIGN_BITS // 4))
     part_of = lambda i, j: F.coalesce(F.max(F.when((F.col("which") == i) & (F.col("part") == j), F.col("f"))), none)
     said = [F.concat(*[part_of(i, j) for j in range(SAMPLES // PART)]).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))]

@@ -304,7 +304,7 @@ def test_6_weights_follow_generalised_jaccard(spark):
         rows += [(d, side, w) for side, bag in ((0, a), (1, b)) for w, n in bag.items() for _ in range(n)]
     flat = spark.createDataFrame(rows, "d int, which int, w string").select("d", "which", F.xxhash64("w").alias("word"))
     k = weighted_fingerprints.SAMPLES
-    signs = weighted_fingerprints.signature(flat, ["d"]).collect()
+    signs = weighted_fingerprints.signature(flat, "d", []).collect()
     by = {}
     for r in sorted(signs, key=lambda r: r.part):
         by.setdefault((r.d, r.which), []).extend(r[f"s{i}"] & 0xFFFFFF for i in range(weighted_fingerprints.PART))
