@@ -239,11 +239,11 @@ STYLE = "'width: ' || (l_partkey % 900) || CASE WHEN l_linenumber = 1 THEN '%' E
         0.5 AS above, 1.5 AS below, 1.5 AS padded FROM v""")
 def q_style_colour(t):
     """X60, X61 and X63."""
-    style, color = F.expr(STYLE), F.regexp_extract("style", "; color: ([^;]+)", 1)
-    parts = notes.rgb(color)
-    white = notes.near_white(parts["r"], parts["g"], parts["b"], F.lit(1.0))
     sides = [notes.spacing(F.col("style"), *x).alias(n) for n, x in (("above", ("margin", "top")), ("below", ("margin", "bottom")), ("padded", ("padding", "top")))]
-    return t("lineitem").select("l_orderkey", "l_linenumber", style.alias("style")).select("l_orderkey", "l_linenumber", notes.style_color(F.col("style")).alias("color"), notes.hex_color(color).alias("hexed"), white.alias("white"), *sides)
+    rows = notes.style_colors(t("lineitem").select("l_orderkey", "l_linenumber", F.expr(STYLE).alias("style")), "style")
+    color = notes.color_of("color")
+    white = notes.near_white(color["r"], color["g"], color["b"], F.lit(1.0))
+    return rows.select("l_orderkey", "l_linenumber", notes.shown_color(color).alias("color"), notes.hex_color(color).alias("hexed"), white.alias("white"), *sides)
 
 
 @query(f"""

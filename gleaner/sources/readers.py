@@ -84,6 +84,13 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a work_folder(): computed once where several joins read it, and read again after an executor is lost."""
+    path = f"{work_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Reports and logs as lines of JSON."""
     df.write.mode("append").json(path)
