@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import operator
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,7 +18,6 @@ from pyspark.sql import functions as F
 GAP = re.compile(r"(?<=\S)\*\*([ \t]*)\*\*(?=\S)")
 #: A line's first bold span, with what touches it.
 FIRST_SPAN = re.compile(r"^([ \t]*\*\*(?:(?!\*\*).)*\*\*)(?=\S)", re.MULTILINE)
-MATERIAL = re.compile(r"\n(?=## 材料 \d+:)")
 
 
 class Writer(HTMLParser):
@@ -132,39 +135,54 @@ def normal_bold(text: str | None) -> str | None:
     return None if text is None else spaced_first_bold(spaced_bold(merged_bold(text)))
 
 
+def chunk_numbers(lengths: Iterable[int], most: int) -> Iterator[int]:
+    """The chunk of each block, by a running length: a block stays with those before while they have ``most`` characters together."""
+    number, used = -1, most + 1
+    for n in lengths:
+        fits = used + n <= most
+        number, used = (number, used + n) if fits else (number + 1, n)
+        yield number
+
+
 def packed(blocks: list[str], most: int) -> list[str]:
-    """Blocks in order into chunks of up to ``most`` characters of blocks, a line each, trimmed; a larger block is cut into slices."""
+    """Blocks in order in chunks of up to ``most`` characters, joined by line feeds and trimmed; a larger block is cut into slices."""
     out: list[str] = []
-    now: list[str] = []
-    for b in blocks:
-        if now and sum(map(len, now)) + len(b) > most:
-            out.append("\n".join(now).strip())
-            now = []
-        if len(b) > most:
-            out += [b[i : i + most] for i in range(0, len(b), most)]
-        else:
-            now.append(b)
-    out.append("\n".join(now).strip())
-    return [c for c in out if c.strip()]
+    for _, group in itertools.groupby(zip(chunk_numbers(map(len, blocks), most), blocks), operator.itemgetter(0)):
+        members = [b for _, b in group]
+        large = len(members[0]) > most
+        out += textsliced(members[0], most) if large else ["\n".join(members).strip()]
+    return [c for c in out if not c.isspace() and c]
+
+
+def textsliced(text: str, size: int) -> list[str]:
+    return ["".join(x) for x in itertools.batched(text, size)]
 
 
 def material_chunks(text: str, most: int) -> list[str]:
-    """A digest's source text, whole if it fits, else its numbered materials packed."""
-    return [text] if len(text) <= most else packed(MATERIAL.split(text), most)
+    """A digest's source text, whole if it fits, else packed by its numbered materials, which begin at a line of their own."""
+    if len(text) <= most:
+        return [text]
+    starts = [m.start() for m in re.finditer("^## 材料 [0-9]+:", text, re.MULTILINE) if m.start()]
+    return packed([text[i:j] for i, j in zip([0, *starts], [*(s - 1 for s in starts), len(text)])], most)
 
 
 def newline_chunks(text: str, most: int) -> list[str]:
     """Chunks of at most ``most`` characters, trimmed, that end before the last line break if it lies past half; blank ones go."""
     if len(text) <= most:
         return [text]
-    out, at = [], 0
-    while at < len(text):
-        end = at + most
-        cut = text.rfind("\n", at, end) if end < len(text) else -1
-        end = cut if cut > at + most // 2 else end
-        out.append(text[at:end].strip())
-        at = end
-    return [c for c in out if c]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def following(at: int) -> int:
+        """Where the chunk from ``at`` ends."""
+        if at + most >= len(text):
+            return len(text)
+        before = bisect.bisect_left(breaks, at + most)
+        return breaks[before - 1] if before and breaks[before - 1] - at > most // 2 else at + most
+
+    bounds = [0]
+    while bounds[-1] < len(text):
+        bounds.append(following(bounds[-1]))
+    return [c for c in (text[i:j].strip() for i, j in itertools.pairwise(bounds)) if c]
 
 
 def mapped(f, kind: str):

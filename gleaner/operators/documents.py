@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.functions.notes import spaced_lists
 from gleaner.functions.text import blank_to_null, trimmed
 from gleaner.operators.records import numbering_formats, ordinals
-from gleaner.sources.readers import kept
+from gleaner.sources.readers import forget, kept
+from gleaner.sources.states import field
 
 
 def normal_lines(c: Column, blank: int = 2) -> Column:
@@ -111,25 +112,25 @@ def word_documents(parts: DataFrame) -> DataFrame:
     return about.join(bodies, "path", "left").select("path", "title", "markdown", "error")
 
 
-def field(node: str | Column, *path: str | int, kind: str = "string") -> Column:
-    """A value inside a VARIANT, null where the path or the type doesn't fit."""
-    steps = "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
-    return F.try_variant_get(node, F.lit("$" + steps), kind)
+def tree_nodes(trees: DataFrame, key: str, root: Column, children: str, columns: list[Column]) -> DataFrame:
+    """(key, place, columns) of all nodes of VARIANT trees: place is the numbers of the node's ancestors and itself among their siblings.
 
-
-def tree_nodes(trees: DataFrame, key: str, root: Column, children: str) -> DataFrame:
-    """(key, place, node) of all nodes of VARIANT trees: place is the numbers of the node's ancestors and itself among their siblings.
-
-    root: an array of VARIANT; children: the field of a node's children. One level a round, so rounds are as many as the deepest tree has
-    levels; each level is written.
+    root: an array of VARIANT; children: the field of a node's children; columns: what is wanted of a node, from column ``node``. One level a
+    round, so rounds are as many as the deepest tree has levels. What is wanted of each level is written; subtrees, until the next level is.
     """
-    one = trees.select(key, F.posexplode(root).alias("at", "node")).select(key, F.array("at").alias("place"), "node")
-    level, out = kept(one), None
+    level = kept(trees.select(key, F.posexplode(root).alias("at", "node")).select(key, F.array("at").alias("place"), "node"))
+    found = [kept(level.select(key, "place", *columns))]
     while level.head(1):
-        out = level if out is None else out.unionByName(level)
         below = level.select(key, "place", F.posexplode(field("node", children, kind="array<variant>")).alias("at", "node"))
-        level = kept(below.select(key, F.concat("place", F.array("at")).alias("place"), "node"))
-    return level if out is None else out
+        following = kept(below.select(key, F.concat("place", F.array("at")).alias("place"), "node"))
+        forget(level)
+        level = following
+        found.append(kept(level.select(key, "place", *columns)))
+    forget(level)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def own_text(node: str) -> Column:
@@ -153,14 +154,13 @@ def editor_documents(notes: DataFrame, key: str = "path", content: str = "conten
     where nothing was found.
     """
     parsed = notes.select(F.col(key).alias("key"), F.try_parse_json(content).alias("tree"))
-    parsed = kept(parsed.withColumn("blocks", field("tree", "5", kind="array<variant>")))
-    found = tree_nodes(parsed, "key", F.col("blocks"), "5")
+    parsed = parsed.withColumn("blocks", field("tree", "5", kind="array<variant>"))
     kind, about = field("node", "6"), lambda name: field("node", "4", name)
-    nodes = found.select(
-        "key", "place", F.coalesce(kind, F.lit("")).alias("type"), blank_to_null(about("l")).alias("l"), about("lt").alias("lt"), F.coalesce(F.nullif(about("ll").try_cast("int"), F.lit(0)), F.lit(1)).alias("level"),
+    columns = [
+        F.coalesce(kind, F.lit("")).alias("type"), blank_to_null(about("l")).alias("l"), about("lt").alias("lt"), F.coalesce(F.nullif(about("ll").try_cast("int"), F.lit(0)), F.lit(1)).alias("level"),
         blank_to_null(about("li")).alias("li"), F.coalesce(blank_to_null(about("u")), blank_to_null(about("url")), F.lit("")).alias("url"), own_text("node").alias("own"),
-    )
-    nodes = kept(nodes)
+    ]
+    nodes = tree_nodes(parsed, "key", F.col("blocks"), "5", columns)
     prefixes = lambda upto: F.transform(F.sequence(F.lit(1), upto), lambda n: F.slice("place", F.lit(1), n))
     inside = nodes.filter("own <> ''").select("key", F.explode(prefixes(F.size("place"))).alias("of"), "place", "own")
     texts = inside.groupBy("key", F.col("of").alias("place")).agg(trimmed(in_order(F.col("place"), F.col("own"))).alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gleaner.sources.readers import work_folder
+from gleaner.sources.readers import free_names, work_folder
 
 
 def take_while_unknown(items: DataFrame, source: str, order: list[Column], known: Column) -> DataFrame:
@@ -25,11 +25,12 @@ def incremental_select(items: DataFrame, source: str, order: list[str], known: C
     Newest is greatest in the columns ``order``. Adds pos (from 1) and is_new. What is before the first known item is what is newer than the
     newest known one, a partial maximum; and only so many rows a source and task are shuffled to be ranked.
     """
-    last = items.filter(known).groupBy(F.col(source).alias("_of")).agg(F.max(F.struct(*order)).alias("_last"))
-    newer = items.join(last, F.col(source).eqNullSafe(F.col("_of")), "left").filter(F.col("_last").isNull() | (F.struct(*order) > F.col("_last")))
+    of, top = map(free_names(items), ("of", "last"))
+    last = items.filter(known).groupBy(F.col(source).alias(of)).agg(F.max(F.struct(*order)).alias(top))
+    newer = items.join(last, F.col(source).eqNullSafe(F.col(of)), "left").filter(F.col(top).isNull() | (F.struct(*order) > F.col(top)))
     ranked = newer.withColumn("pos", F.row_number().over(Window.partitionBy(source).orderBy(*map(F.desc, order))).cast("long")).filter(F.col("pos") <= max(new_cap, known_cap))
-    marked = ranked.withColumn("is_new", F.col("_last").isNull())
-    return marked.filter(F.col("pos") <= F.when(F.col("is_new"), new_cap).otherwise(known_cap)).drop("_of", "_last")
+    marked = ranked.withColumn("is_new", F.col(top).isNull())
+    return marked.filter(F.col("pos") <= F.when(F.col("is_new"), new_cap).otherwise(known_cap)).drop(of, top)
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
@@ -38,19 +39,20 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[Column], value: Co
     Rows are range-partitioned by key and order, and written; sums of what earlier partitions have of a key (a row a key and partition) are
     added to the sums within each.
     """
-    spark = rows.sparkSession
+    spark, own = rows.sparkSession, free_names(rows)
+    held, part, total, at, so_far, inside = map(own, ("value", "part", "sum", "at", "before", "inside"))
     path = work_folder(spark)
     cut = [F.col(k).asc_nulls_first() for k in keys] + order
-    rows.withColumn("_value", value).repartitionByRange(*cut).withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    rows.withColumn(held, value).repartitionByRange(*cut).withColumn(part, F.spark_partition_id()).write.mode("overwrite").parquet(path)
     parts = spark.read.parquet(path)
-    sums = parts.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    before = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("_value").over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same = F.col("_part") == F.col("_at")
+    sums = parts.groupBy(*keys, part).agg(F.sum(held).alias(total))
+    before = F.sum(total).over(Window.partitionBy(*keys, F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*[F.col(k).alias(own(k)) for k in keys], F.col(part).alias(at), F.coalesce(before, F.lit(0)).alias(so_far))
+    within = F.sum(held).over(Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col(part) == F.col(at)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return parts.withColumn("_inside", inside).join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).select(*rows.columns, name)
+        same = same & F.col(k).eqNullSafe(F.col(own(k)))
+    return parts.withColumn(inside, within).join(before, same).withColumn(name, F.col(so_far) + F.col(inside)).select(*rows.columns, name)
 
 
 def unprocessed(items: DataFrame, history: DataFrame, key: str, per: str | None = None, most: int | None = None, order: list[Column] = ()) -> DataFrame:
@@ -61,8 +63,9 @@ def unprocessed(items: DataFrame, history: DataFrame, key: str, per: str | None
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int, number: str | None = None) -> DataFrame:
     """The first n rows of each key, in the given order."""
-    out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n)
-    return out.withColumn(number, F.col("_n").cast("long")).drop("_n") if number else out.drop("_n")
+    at = free_names(rows)("n")
+    out = rows.withColumn(at, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(at) <= n)
+    return out.withColumn(number, F.col(at).cast("long")).drop(at) if number else out.drop(at)
 
 
 def first_of_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -87,15 +90,17 @@ def runs(rows: DataFrame, keys: list[str], order: list[Column], label: str) -> D
     """Numbers each key's runs of equal labels in ``run`` (gaps and islands)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)
-    return rows.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
+    begins = free_names(rows)("begins")
+    return rows.withColumn(begins, change).withColumn("run", F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop(begins)
 
 
 def trailing_streak(rows: DataFrame, keys: list[str], order: str, is_hit: Column) -> DataFrame:
     """How many of a key's last rows are hits without a break, by two partial aggregates: the last miss, and the hits after it."""
-    tagged = rows.withColumn("_hit", is_hit)
-    miss = tagged.groupBy(*keys).agg(F.max(F.when(~F.col("_hit"), F.col(order))).alias("_miss"))
+    hit, last = map(free_names(rows), ("hit", "miss"))
+    tagged = rows.withColumn(hit, is_hit)
+    miss = tagged.groupBy(*keys).agg(F.max(F.when(~F.col(hit), F.col(order))).alias(last))
     both = tagged.join(miss, keys)
-    return both.groupBy(*keys).agg(F.count(F.when(F.col("_miss").isNull() | (F.col(order) > F.col("_miss")), 1)).alias("streak"))
+    return both.groupBy(*keys).agg(F.count(F.when(F.col(last).isNull() | (F.col(order) > F.col(last)), 1)).alias("streak"))
 
 
 def cooling(rows: DataFrame, keys: list[str], order: str, ts: str, is_hit: Column, as_of: Column, least: int = 3, seconds: int = 300) -> DataFrame:
@@ -125,9 +130,10 @@ def cumulative_trim(rows: DataFrame, key: str, order: list[Column], size: Column
 
 def suffixed(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """Names that collide get _1, _2, … after the first."""
-    n = F.col("_n") - 1
+    at = free_names(rows)("n")
+    n = F.col(at) - 1
     unique = F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string")))
-    return running_sum(rows, [name], order, F.lit(1).cast("long"), "_n").withColumn("unique_name", unique).drop("_n")
+    return running_sum(rows, [name], order, F.lit(1).cast("long"), at).withColumn("unique_name", unique).drop(at)
 
 
 #: Bytes of phrases that are looked for in one pass over the texts.

@@ -211,7 +211,6 @@ def article_markdown(nodes: DataFrame, roots: DataFrame, images: DataFrame | Non
     them and the root; headings, lists, quotes, tables, code and links are taken as one with the text inside. A table inside a table is also
     rows of the outer one. markdown is null where nothing is shown.
     """
-    nodes = kept(nodes)
     inner = F.filter("path", lambda x: x["node"] > F.col("root"))
     joined = nodes.join(roots.withColumnRenamed("last", "end"), "page").filter((F.col("node") > F.col("root")) & (F.col("node") <= F.col("end")))
     inside = joined.filter(~F.exists("path", lambda x: x["tag"].isin("script", "style", "template"))).withColumn("path", inner).drop("root", "end")
@@ -249,14 +248,14 @@ def article_markdown(nodes: DataFrame, roots: DataFrame, images: DataFrame | Non
     signs = rows.filter(kind.isin("flow", "quote") & (F.col("image").isNotNull() | (F.col("tag") == "br"))).select("page", F.col("node").alias("pos"), F.lit(0).alias("end"), F.coalesce("image", F.lit("\n")).alias("text"))
     is_end = F.col("tag").isin("p", "section") & (entered(F.col("state"), F.struct("node", "tag", "nth", F.lit(False).alias("link")))["kind"] == "flow")
     ends = rows.filter(is_end).select("page", F.col("last").alias("pos"), F.lit(1).alias("end"), F.lit("\n").alias("text"))
-    pieces = texts.unionByName(blocks).unionByName(signs).unionByName(ends).unionByName(article_tables(nodes, rows))
+    pieces = texts.unionByName(blocks).unionByName(signs).unionByName(ends).unionByName(article_tables(rows))
     joined = pieces.groupBy("page").agg(in_order(F.struct("pos", "end"), F.col("text")).alias("text"))
     clean = trimmed(F.regexp_replace(F.regexp_replace("text", r"\n[ \t]+\n", "\n\n"), r"\n{3,}", "\n\n"))
     counts = rows.groupBy("page").agg(F.count("image").alias("images"), F.count_if(F.col("shown").startswith("\n\n> 🎥 ")).alias("videos"))
     return roots.select("page").join(joined.select("page", blank_to_null(clean).alias("markdown")), "page", "left").join(counts, "page", "left").select("page", "markdown", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("images", "videos")])
 
 
-def article_tables(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def article_tables(rows: DataFrame) -> DataFrame:
     """Tables as pieces (page, pos, end, text); a cell belongs to every row around it."""
     cells = rows.filter(F.col("tag").isin("td", "th") & (F.col("state.kind") == "table"))
     of = F.filter("path", lambda x: (x["tag"] == "tr") & (x["node"] > F.col("state.unit")))

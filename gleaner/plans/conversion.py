@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.documents import editor_documents, in_order, word_documents
-from gleaner.operators.pages import CONTENT, article_markdown, content_of, element, fields_of, richest_of, texts_inside, titles_of
+from gleaner.operators.pages import article_markdown, content_of, element, fields_of, richest_of, texts_inside, titles_of
 from gleaner.plans.catalog import query
 from gleaner.sources.containers import packed_members, word_parts
 from gleaner.sources.markup import page_nodes
 from gleaner.sources.readers import kept
+from gleaner.sources.states import embedded, episodes, with_details
 
 #: Control characters, which XML can't hold, become blanks.
 CLEAN = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
@@ -260,7 +261,7 @@ def q_article_markdown(t):
     spark = t("documents").sparkSession
     images = spark.createDataFrame([("http://i.example/0.png", "pic0.png", 600), ("http://i.example/1.png", "pic1.png", 200)], "src string, name string, width long")
     nodes = kept(page_nodes(article_pages(t), "doc_id", "html"))
-    found = article_markdown(nodes, content_of(nodes, CONTENT), images)
+    found = article_markdown(nodes, content_of(nodes), images)
     return found.select(F.col("page").cast("long").alias("doc_id"), "markdown", "images", "videos")
 
 
@@ -287,3 +288,52 @@ def q_page_content(t):
     best = richest_of(nodes).join(nodes.select("page", F.col("node").alias("root"), "tag"), ["page", "root"]).select("page", F.col("tag").alias("richest"), "length")
     found = titles_of(nodes).join(article, "page", "full").join(best, "page", "full")
     return found.select(F.col("page").cast("long").alias("page_id"), "title", "article_sha256", "richest", "length")
+
+
+#: Pages with embedded state by doc_id % 6: three shapes, one cut short, one without a script, one without a podcast.
+SHAPES = (
+    ('{"props":{"pageProps":{"podcast":{"pid":"p{d}","title":"Show","episodes":[', "]}}}}"),
+    ('{"props":{"podcast":{"id":"p{d}","title":" ","name":"Show","list":[', "]}}}"),
+    ('{"data":{"pid":"p{d}","title":"Show","records":[', "]}}"),
+    ('{"data":{"pid":"p{d}","records":[', "]"),
+    ("", ""),
+    ('{"props":{"other":[', "]}}"),
+)
+
+
+def state_pages(t) -> DataFrame:
+    """doc_id, html: a page with the lines of a document as episodes in its state, in one of SHAPES."""
+    i, line = F.col("i"), F.replace(F.col("line"), F.lit("</"), F.lit("< /"))
+    full = F.struct(i.cast("string").alias("eid"), F.substring(line, 1, 40).alias("title"), line.alias("description"), F.length("line").alias("duration"), F.struct(F.concat(F.lit("http://a.example/"), i.cast("string")).alias("url")).alias("enclosure"))
+    drifted = F.struct(i.alias("transId"), F.lit("").alias("title"), F.substring(line, 1, 40).alias("name"), line.alias("description"), F.length("line").cast("string").alias("duration"), F.concat(F.lit("http://a.example/"), i.cast("string")).alias("audioUrl"))
+    item = F.when(F.col("doc_id") % 6 == 0, F.to_json(full)).otherwise(F.to_json(drifted))
+    items = lines_of(t).select("doc_id", "i", item.alias("json")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "json"))), lambda x: x["json"]), ",").alias("json"))
+    html = F.lit("<html>no state</html>")
+    for k, (head, tail) in enumerate(SHAPES):
+        state = F.concat(F.replace(F.lit(head), F.lit("{d}"), F.col("doc_id").cast("string")), "json", F.lit(tail))
+        page = F.concat(F.lit('<html><script>var x;</script><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script><script>1</script>"))
+        html = html if k == 4 else F.when(F.col("doc_id") % 6 == k, page).otherwise(html)
+    return items.select("doc_id", html.alias("html"))
+
+
+@query(rf"""
+    WITH {LINES_SQL},
+    safe AS (SELECT doc_id, i, replace(line, '</', '< /') AS line, length(line) AS n FROM lines WHERE doc_id % 6 < 3),
+    items AS (SELECT doc_id, i, n, line, trim(substring(line, 1, 40), ' ') AS title, trim(line, ' ') AS text FROM safe),
+    found AS (SELECT doc_id, 'p' || doc_id AS pid, 'Show' AS podcast, i AS pos, CAST(i AS VARCHAR) AS eid, title,
+        CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS description, CAST(n AS BIGINT) AS duration, 'http://a.example/' || i AS audio_url, '' AS image_url, NULL AS error FROM items)
+    SELECT * FROM found UNION ALL
+    SELECT doc_id, '', '', NULL, '', '', '', 0, '', '', CASE doc_id % 6 WHEN 3 THEN 'json' WHEN 4 THEN 'absent' ELSE 'podcast' END FROM documents WHERE doc_id % 6 >= 3""")
+def q_embedded_state(t):
+    """Every document's lines as episodes in the state of a page, in drifting shapes."""
+    return episodes(embedded(state_pages(t), "doc_id", "html"), "doc_id")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(text, ' ') WHEN 1 THEN source END AS summary FROM documents)
+    SELECT o_orderkey, nullif(summary, '') AS summary, CASE WHEN nullif(summary, '') IS NULL THEN 'failed' ELSE 'saved' END AS status FROM orders LEFT JOIN d ON o_orderkey = doc_id""")
+def q_details(t):
+    """Orders with the landed details of the documents of the same number."""
+    payload = "CASE doc_id % 3 WHEN 0 THEN to_json(named_struct('data', named_struct('aiSummary', text))) WHEN 1 THEN to_json(named_struct('aiSummary', ' ', 'mtSummary', source)) ELSE '{\"data\":' END"
+    details = t("documents").selectExpr("doc_id AS o_orderkey", f"{payload} AS payload")
+    return with_details(t("orders").select("o_orderkey"), details, "o_orderkey")

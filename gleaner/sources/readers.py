@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,11 +51,20 @@ def settings(pairs: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return base.join(pairs, "key", "left").select("key", F.coalesce(F.nullif(F.trim("value"), F.lit("")), "fallback").alias("value"))
 
 
+def free_names(*frames: DataFrame) -> Callable[[str], str]:
+    """Names for helper columns that no column of the frames has: a prefix that none of them begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for f in frames for c in f.columns):
+        prefix += "_"
+    return lambda name: prefix + name
+
+
 def merge_state(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Old state with new rows upserted: of each key the row with the greatest ``order``, the new one on ties."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    values = [c for c in both.columns if c not in keys and c != "_new"]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(order, "_new")).alias("v")).select(*keys, "v.*")
+    is_new, v = map(free_names(old, new), ("new", "v"))
+    both = old.withColumn(is_new, F.lit(0)).unionByName(new.withColumn(is_new, F.lit(1)), allowMissingColumns=True)
+    values = [c for c in both.columns if c not in keys and c != is_new]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(order, is_new)).alias(v)).select(*keys, f"{v}.*")
 
 
 def write_versioned(df: DataFrame, path: str, version: int) -> str:
@@ -88,7 +98,15 @@ def kept(df: DataFrame) -> DataFrame:
     """df as a Parquet table in a work_folder(): computed once where several joins read it, and read again after an executor is lost."""
     path = f"{work_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a kept() table that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
