@@ -58,30 +58,33 @@ def word_blocks(parts: DataFrame) -> DataFrame:
     A paragraph's heading level and its place in a list come from its style's name where it has no list of its own; J6 gives a list's format,
     W6 its numbers, counted for each list and level of a document.
     """
-    name = F.coalesce("name", F.lit(""))
-    runs = parts.filter("part = 'run'")
+    parts = parts.repartition("path")
     shown = colored(marked(F.col("text"), F.col("bold"), F.col("italic"), F.col("strike")), F.col("color"))
-    texts = runs.groupBy("path", "block").agg(in_order(F.col("run"), F.when(F.col("direct"), shown).otherwise("")).alias("own"), in_order(F.col("run"), F.col("text")).alias("all"))
-    text = F.coalesce(blank_to_null(trimmed(F.col("own"))), trimmed(F.col("all")), F.lit(""))
-    styles = parts.filter("part = 'style'").groupBy("path", F.col("style").alias("of")).agg(F.first("text").alias("name"))
-    paragraphs = parts.filter("part = 'paragraph'").select("path", "block", "style", "list", "level").join(texts, ["path", "block"], "left")
-    named = paragraphs.join(styles.withColumnRenamed("path", "there"), (F.col("path") == F.col("there")) & F.col("style").eqNullSafe(F.col("of")), "left")
+    of_run = lambda c: F.when(F.col("part") == "run", c)
+    paragraphs = parts.filter("part in ('paragraph', 'run')").groupBy("path", "block").agg(
+        *[F.max(c).alias(c) for c in ("style", "list", "level")],
+        in_order(F.col("run"), of_run(F.when(F.col("direct"), shown).otherwise(""))).alias("own"), in_order(F.col("run"), of_run(F.col("text"))).alias("all"),
+    )
+    # What a document says of its styles and lists is small, and goes to its paragraphs as arrays: all of it stays where the document is.
+    styles = parts.filter("part = 'style'").groupBy("path").agg(F.collect_list(F.struct(F.coalesce("style", F.lit("")).alias("id"), "text")).alias("styles"))
     numbers = parts.filter("part = 'number'").select(F.struct("path", F.col("list").alias("id")).alias("num_id"), F.struct("path", F.col("text").alias("id")).alias("abstract_id"))
     levels = parts.filter("part = 'level'").select(F.struct("path", F.col("list").alias("id")).alias("abstract_id"), "level", F.col("text").alias("format"), F.col("block").alias("pos"))
-    formats = numbering_formats(numbers, levels)
+    formats = numbering_formats(numbers, levels).select("num_id.path", F.struct("num_id.id", "level", "format").alias("x")).groupBy("path").agg(F.collect_list("x").alias("formats"))
+    named = paragraphs.join(styles, "path", "left").join(formats, "path", "left")
+    of_style = F.filter("styles", lambda x: x["id"] == F.coalesce("style", F.lit("")))
+    of_list = F.filter("formats", lambda x: (x["id"] == F.col("list")) & (x["level"] == F.col("level")))
+    text = F.coalesce(blank_to_null(trimmed(F.col("own"))), trimmed(F.col("all")), F.lit(""))
+    known = named.select("path", "block", "list", "level", text.alias("text"), F.coalesce(F.get(of_style, F.lit(0))["text"], F.lit("")).alias("name"), F.get(of_list, F.lit(0))["format"].alias("format"))
+    name, low = F.col("name"), F.lower("name")
     head = F.coalesce(*[blank_to_null(F.regexp_extract(name, r"(?i)heading\s+([1-6])|标题\s*([1-6])", i)) for i in (1, 2)]).cast("int")
     by_name = F.greatest(F.coalesce(F.regexp_extract(name, r"(?i)(?:list|列表).*(\d+)$", 1).try_cast("int"), F.lit(1)) - 1, F.lit(0))
-    low = F.lower(name)
-    bullet, numbered = low.rlike("bullet|项目符号|列表"), low.rlike("number|编号")
-    judged = named.select(
-        "path", "block", text.alias("text"), head.alias("head"), F.struct("path", F.col("list").alias("id")).alias("num_id"), F.col("list").isNotNull().alias("listed"),
-        F.when(F.col("list").isNotNull(), F.col("level")).otherwise(by_name).alias("level"), bullet.alias("bullet"), numbered.alias("numbered"),
-    ).join(formats, ["num_id", "level"], "left")
-    kind = F.when(F.col("text") == "", "empty").when(F.col("head").isNotNull(), "heading").when(F.col("listed") | F.col("bullet") | F.col("numbered"), "item").otherwise("text")
+    judged = known.select(
+        "path", "block", "text", "list", "format", head.alias("head"), F.when(F.col("list").isNotNull(), F.col("level")).otherwise(by_name).alias("level"),
+        low.rlike("bullet|项目符号|列表").alias("bullet"), low.rlike("number|编号").alias("numbered"),
+    )
+    kind = F.when(F.col("text") == "", "empty").when(F.col("head").isNotNull(), "heading").when(F.col("list").isNotNull() | F.col("bullet") | F.col("numbered"), "item").otherwise("text")
     counted = ((F.col("format") != "bullet") | (F.col("format").isNull() & F.col("numbered"))) & (F.col("kind") == "item")
-    kinds = judged.withColumn("kind", kind).withColumn("counted", F.coalesce(counted, F.lit(False)))
-    numbered_items = ordinals(kinds.filter("counted"), "num_id", "level", "block")
-    items = numbered_items.unionByName(kinds.filter("not counted").withColumn("ordinal", F.lit(None).cast("long")))
+    items = ordinals(judged.withColumn("kind", kind), ["path", "list"], "level", "block", F.coalesce(counted, F.lit(False)))
     sign = F.coalesce(F.concat(F.col("ordinal").cast("string"), F.lit(". ")), F.lit("- "))
     line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("head")), F.lit(" "), F.col("text")))
     line = line.when(F.col("kind") == "item", F.concat(F.repeat(F.lit("  "), F.col("level")), sign, F.col("text"))).otherwise(F.col("text"))
@@ -161,19 +164,20 @@ def editor_documents(notes: DataFrame, key: str = "path", content: str = "conten
         blank_to_null(about("li")).alias("li"), F.coalesce(blank_to_null(about("u")), blank_to_null(about("url")), F.lit("")).alias("url"), own_text("node").alias("own"),
     ]
     nodes = tree_nodes(parsed, "key", F.col("blocks"), "5", columns)
-    prefixes = lambda upto: F.transform(F.sequence(F.lit(1), upto), lambda n: F.slice("place", F.lit(1), n))
-    inside = nodes.filter("own <> ''").select("key", F.explode(prefixes(F.size("place"))).alias("of"), "place", "own")
-    texts = inside.groupBy("key", F.col("of").alias("place")).agg(trimmed(in_order(F.col("place"), F.col("own"))).alias("text"))
-    full = nodes.drop("own").join(texts, ["key", "place"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.slice(c, F.lit(1), n))
     listed = (F.col("type") == "l") | F.coalesce(F.col("lt").isin("ordered", "unordered"), F.lit(False))
-    full = kept(full.withColumn("closed", (F.col("text") != "") | F.col("type").isin("im", "hr") | listed))
-    # What a closed block has inside is in its text.
-    deeper = full.filter("size(place) > 1").select("key", "place", F.explode(prefixes(F.size("place") - 1)).alias("of"))
-    hidden = deeper.join(full.filter("closed").select("key", F.col("place").alias("of")), ["key", "of"], "left_semi").select("key", "place").distinct()
-    shown = full.filter("closed").join(hidden, ["key", "place"], "left_anti")
+    # A block is closed if it shows itself; it has a text if a block inside has. Places only are moved to find this out.
+    full = nodes.filter(trimmed(F.col("own")) != "").select("key", F.explode(prefixes(F.col("place"))).alias("place")).distinct()
+    own = nodes.filter(F.col("type").isin("im", "hr") | listed).select("key", "place")
+    closed = kept(full.unionByName(own).distinct())
+    # Each node belongs to the outermost closed block around it.
+    outer = nodes.select("key", F.col("place").alias("at"), F.explode(prefixes(F.col("place"))).alias("place")).join(closed, ["key", "place"]).groupBy("key", "at").agg(F.min_by("place", F.size("place")).alias("place"))
+    units = nodes.withColumnRenamed("place", "at").join(outer, ["key", "at"])
+    mine = lambda c: F.max(F.when(F.size("at") == F.size("place"), F.col(c))).alias(c)
+    shown = units.groupBy("key", "place").agg(trimmed(in_order(F.col("at"), F.col("own"))).alias("text"), *[mine(c) for c in ("type", "l", "lt", "level", "li", "url")])
     counted = listed & (F.col("type") != "im") & (F.col("lt") == "ordered") & ~((F.col("type") == "h") & (F.col("text") != ""))
-    marks = shown.withColumn("counted", F.coalesce(counted, F.lit(False))).withColumn("list", F.struct("key", F.coalesce("li", F.concat(F.lit("default-"), F.col("level").cast("string"))).alias("id")))
-    numbered = ordinals(marks.filter("counted"), "list", "level", "place").unionByName(marks.filter("not counted").withColumn("ordinal", F.lit(None).cast("long")))
+    marks = shown.withColumn("list", F.coalesce("li", F.concat(F.lit("default-"), F.col("level").cast("string"))))
+    numbered = ordinals(marks, ["key", "list"], "level", "place", F.coalesce(counted, F.lit(False)))
     head = F.when(F.col("type") == "h", F.coalesce(blank_to_null(F.regexp_extract(F.coalesce("l", F.lit("")), "^h([1-6])$", 1)).cast("int"), F.lit(2)))
     title = F.concat(F.repeat(F.lit("#"), head), F.lit(" "), F.col("text"), F.lit("\n\n"))
     sign = F.coalesce(F.concat(F.col("ordinal").cast("string"), F.lit(". ")), F.lit("- "))

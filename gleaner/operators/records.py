@@ -102,9 +102,14 @@ def numbering_formats(numbers: DataFrame, levels: DataFrame) -> DataFrame:
     return numbers.join(last, "abstract_id").select("num_id", "level", F.coalesce(blank_to_null(F.col("format")), F.lit("bullet")).alias("format"))
 
 
-def ordinals(items: DataFrame, list_id: str, level: str, pos: str) -> DataFrame:
-    """The running number of an item within its list and level; a document's list is one (bounded) group."""
-    return items.withColumn("ordinal", F.row_number().over(Window.partitionBy(list_id, level).orderBy(pos)).cast("long"))
+def ordinals(items: DataFrame, list_id: str | list[str], level: str, pos: str, where: Column | None = None) -> DataFrame:
+    """The running number of an item within its list and level; a document's list is one (bounded) group. where: only such items count,
+    others get null."""
+    keys = [list_id] if isinstance(list_id, str) else list_id
+    order = Window.partitionBy(*keys, level).orderBy(pos)
+    if where is None:
+        return items.withColumn("ordinal", F.row_number().over(order).cast("long"))
+    return items.withColumn("ordinal", F.when(where, F.count_if(where).over(order)))
 
 
 def spaced_blocks(blocks: DataFrame, doc: str, pos: str, above: Column, below: Column, least: float) -> DataFrame:

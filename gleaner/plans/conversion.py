@@ -22,10 +22,10 @@ CLEAN = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
 NAMESPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def lines_of(t) -> DataFrame:
-    """doc_id, i (from 0), line."""
+def of_lines(t, made, between: str = "") -> DataFrame:
+    """doc_id, made: what a function of a line and its number (from 0) makes of each line of a document, joined."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), CLEAN, " "), "\n", -1)
-    return t("documents").select("doc_id", F.posexplode(lines).alias("i", "line"))
+    return t("documents").select("doc_id", F.array_join(F.transform(lines, made), between).alias("made"))
 
 
 #: The same in SQL, with the line stripped as s, its first word as a and the rest as b.
@@ -54,29 +54,32 @@ def word_cell(c: Column, about: str = "") -> Column:
 
 def word_files(t) -> DataFrame:
     """doc_id, content: a Word container of each document, its title a number, its styles' ids telling nothing."""
-    line, i = F.col("line"), F.col("i")
-    first = F.substring_index(line, " ", 1)
-    rest = F.substring(line, F.length(first) + 1, F.length(line))
     listed = '<w:numPr><w:ilvl w:val="{}"/><w:numId w:val="{}"/></w:numPr>'
     row = lambda *cells: F.concat(F.lit("<w:tr>"), *cells, F.lit("</w:tr>"))
-    table = F.concat(
-        F.lit("<w:tbl>"),
-        row(word_cell(first, '<w:vMerge w:val="restart"/>'), word_cell(rest)),
-        row(word_cell(F.lit(""), "<w:vMerge/>"), word_cell(F.lit("x"))),
-        row(word_cell(line)),
-        row(word_cell(line, '<w:gridSpan w:val="2"/>')),
-        F.lit("</w:tbl>"),
-    )
-    head = F.concat(F.lit('<w:pStyle w:val="a'), (1 + F.floor(i / 8) % 6).cast("string"), F.lit('"/>'))
-    kinds = (
-        word_paragraph(word_run(line), head), word_paragraph(F.concat(word_run(first, "<w:b/>"), word_run(rest))), word_paragraph(word_run(line), listed.format(0, 1)),
-        word_paragraph(word_run(line), listed.format(1, 2)), word_paragraph(word_run(line), '<w:pStyle w:val="b"/>'), word_paragraph(word_run(line), '<w:pStyle w:val="c"/>'),
-        word_paragraph(word_run(line, '<w:i/><w:strike w:val="1"/><w:b w:val="0"/><w:color w:val="ff0080"/>')), table,
-    )
-    block = F.lit(None).cast("string")
-    for k, xml in enumerate(kinds):
-        block = F.when(i % 8 == k, xml).otherwise(block)
-    body = lines_of(t).select("doc_id", "i", block.alias("xml")).groupBy("doc_id").agg(in_order(F.col("i"), F.col("xml")).alias("xml"))
+
+    def block(line: Column, i: Column) -> Column:
+        first = F.substring_index(line, " ", 1)
+        rest = F.substring(line, F.length(first) + 1, F.length(line))
+        table = F.concat(
+            F.lit("<w:tbl>"),
+            row(word_cell(first, '<w:vMerge w:val="restart"/>'), word_cell(rest)),
+            row(word_cell(F.lit(""), "<w:vMerge/>"), word_cell(F.lit("x"))),
+            row(word_cell(line)),
+            row(word_cell(line, '<w:gridSpan w:val="2"/>')),
+            F.lit("</w:tbl>"),
+        )
+        head = F.concat(F.lit('<w:pStyle w:val="a'), (1 + F.floor(i / 8) % 6).cast("string"), F.lit('"/>'))
+        kinds = (
+            word_paragraph(word_run(line), head), word_paragraph(F.concat(word_run(first, "<w:b/>"), word_run(rest))), word_paragraph(word_run(line), listed.format(0, 1)),
+            word_paragraph(word_run(line), listed.format(1, 2)), word_paragraph(word_run(line), '<w:pStyle w:val="b"/>'), word_paragraph(word_run(line), '<w:pStyle w:val="c"/>'),
+            word_paragraph(word_run(line, '<w:i/><w:strike w:val="1"/><w:b w:val="0"/><w:color w:val="ff0080"/>')), table,
+        )
+        out = F.lit(None).cast("string")
+        for k, xml in enumerate(kinds):
+            out = F.when(i % 8 == k, xml).otherwise(out)
+        return out
+
+    body = of_lines(t, block).withColumnRenamed("made", "xml")
     style = '<w:style w:type="paragraph" w:styleId="{}"><w:name w:val="{}"/></w:style>'
     styles = "".join([style.format(f"a{k}", f"heading {k}") for k in range(1, 7)] + [style.format("b", "List Bullet 2"), style.format("c", "List Number")])
     level = '<w:lvl w:ilvl="{}"><w:numFmt w:val="{}"/></w:lvl>'
@@ -146,8 +149,8 @@ def editor_notes(t) -> DataFrame:
     first, rest = "substring_index(line, ' ', 1)", "substring(line, length(substring_index(line, ' ', 1)) + 1)"
     w, m = f"to_json(array({run('line', mark('z'))}))", f"to_json(array({run(first, mark('b'))}, {run(rest, mark('s', 'i'))}))"
     block = "CASE i % 9 " + " ".join(f"WHEN {k} THEN {json_block(k, 'i', w, m)}" for k in range(len(BLOCKS))) + " END"
-    blocks = lines_of(t).select("doc_id", "i", F.expr(block).alias("json")).groupBy("doc_id")
-    whole = blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "json"))), lambda x: x["json"]), ",").alias("json"))
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), CLEAN, " "), "\n", -1)
+    whole = t("documents").select("doc_id", lines.alias("lines")).select("doc_id", F.expr(f"array_join(transform(lines, (line, i) -> {block}), ',')").alias("json"))
     return whole.select("doc_id", F.expr("CASE WHEN doc_id % 20 = 3 THEN '{\"5\":{\"6\":\"p\"}}' ELSE '{\"5\":[' || json || CASE WHEN doc_id % 20 = 4 THEN '' ELSE ']}' END END").alias("content"))
 
 
@@ -208,17 +211,20 @@ ARTICLE = (
 
 def article_pages(t) -> DataFrame:
     """doc_id, html: every document as an article with nested and unclosed elements, around it what is no content."""
-    safe = lambda c: escaped(c)
-    line = F.replace(F.col("line"), F.lit("http"), F.lit("hxxp"))
-    first = F.substring_index(line, " ", 1)
-    signs = {"{w}": safe(line), "{a}": safe(first), "{b}": safe(F.substring(line, F.length(first) + 1, F.length(line))), "{i}": F.col("i").cast("string"), "{k}": (F.col("i") % 3).cast("string"), "{n}": F.lit("\n")}
-    html = F.lit(None).cast("string")
-    for k, pattern in enumerate(ARTICLE):
-        filled = F.lit(pattern)
-        for sign, x in signs.items():
-            filled = F.replace(filled, F.lit(sign), x)
-        html = F.when(F.col("i") % len(ARTICLE) == k, filled).otherwise(html)
-    body = lines_of(t).select("doc_id", "i", html.alias("html")).groupBy("doc_id").agg(in_order(F.col("i"), F.col("html")).alias("html"))
+    def part(line: Column, i: Column) -> Column:
+        line = F.replace(line, F.lit("http"), F.lit("hxxp"))
+        first = F.substring_index(line, " ", 1)
+        rest = F.substring(line, F.length(first) + 1, F.length(line))
+        signs = {"{w}": escaped(line), "{a}": escaped(first), "{b}": escaped(rest), "{i}": i.cast("string"), "{k}": (i % 3).cast("string"), "{n}": F.lit("\n")}
+        html = F.lit(None).cast("string")
+        for k, pattern in enumerate(ARTICLE):
+            filled = F.lit(pattern)
+            for sign, x in signs.items():
+                filled = F.replace(filled, F.lit(sign), x) if sign in pattern else filled
+            html = F.when(i % len(ARTICLE) == k, filled).otherwise(html)
+        return html
+
+    body = of_lines(t, part).withColumnRenamed("made", "html")
     return body.select("doc_id", F.concat(F.lit('<html><body><div class="a"><div id="js_content" style="color:#00ff00">'), "html", F.lit("</div>after</div></body></html>")).alias("html"))
 
 
@@ -303,11 +309,14 @@ SHAPES = (
 
 def state_pages(t) -> DataFrame:
     """doc_id, html: a page with the lines of a document as episodes in its state, in one of SHAPES."""
-    i, line = F.col("i"), F.replace(F.col("line"), F.lit("</"), F.lit("< /"))
-    full = F.struct(i.cast("string").alias("eid"), F.substring(line, 1, 40).alias("title"), line.alias("description"), F.length("line").alias("duration"), F.struct(F.concat(F.lit("http://a.example/"), i.cast("string")).alias("url")).alias("enclosure"))
-    drifted = F.struct(i.alias("transId"), F.lit("").alias("title"), F.substring(line, 1, 40).alias("name"), line.alias("description"), F.length("line").cast("string").alias("duration"), F.concat(F.lit("http://a.example/"), i.cast("string")).alias("audioUrl"))
-    item = F.when(F.col("doc_id") % 6 == 0, F.to_json(full)).otherwise(F.to_json(drifted))
-    items = lines_of(t).select("doc_id", "i", item.alias("json")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "json"))), lambda x: x["json"]), ",").alias("json"))
+    def episode(line: Column, i: Column) -> Column:
+        line = F.replace(line, F.lit("</"), F.lit("< /"))
+        url = F.concat(F.lit("http://a.example/"), i.cast("string"))
+        full = F.struct(i.cast("string").alias("eid"), F.substring(line, 1, 40).alias("title"), line.alias("description"), F.length(line).alias("duration"), F.struct(url.alias("url")).alias("enclosure"))
+        drifted = F.struct(i.alias("transId"), F.lit("").alias("title"), F.substring(line, 1, 40).alias("name"), line.alias("description"), F.length(line).cast("string").alias("duration"), url.alias("audioUrl"))
+        return F.when(F.col("doc_id") % 6 == 0, F.to_json(full)).otherwise(F.to_json(drifted))
+
+    items = of_lines(t, episode, ",").withColumnRenamed("made", "json")
     html = F.lit("<html>no state</html>")
     for k, (head, tail) in enumerate(SHAPES):
         state = F.concat(F.replace(F.lit(head), F.lit("{d}"), F.col("doc_id").cast("string")), "json", F.lit(tail))
