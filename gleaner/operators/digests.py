@@ -39,11 +39,10 @@ def blocks_of(parts: DataFrame, key: str, number: str, text: str, head: str = ""
     return joined.select("key", "number", F.posexplode(pieces).alias("i", "text")).select("key", F.struct("number", "i").alias("place"), "text")
 
 
-def packed_blocks(blocks: DataFrame, most: int) -> DataFrame:
-    """(key, number, text): blocks (key, place, text) packed in order into chunks of up to ``most`` characters of blocks.
+def chunks_of(blocks: DataFrame, most: int) -> DataFrame:
+    """(key, order, text): blocks (key, place, text) packed in order into chunks of up to ``most`` characters of blocks.
 
-    Blocks of a chunk are joined by line feeds, and stripped; a larger block is cut into slices. Blank chunks go; the others are numbered
-    from 1.
+    Blocks of a chunk are joined by line feeds, and stripped; a larger block is cut into slices. Blank chunks go.
     """
 
     @F.arrow_udf("array<int>")
@@ -58,17 +57,22 @@ def packed_blocks(blocks: DataFrame, most: int) -> DataFrame:
     pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n")
     chunks = cut.groupBy("key", "chunk", "slice").agg(pieces.alias("text"), F.max("cut").alias("cut"))
     stripped = chunks.select("key", F.struct("chunk", "slice").alias("order"), F.when(F.col("cut"), F.col("text")).otherwise(trimmed(F.col("text"))).alias("text"))
-    return running_sum(stripped.filter(trimmed(F.col("text")) != ""), ["key"], [F.col("order")], F.lit(1).cast("long"), "number").select("key", "number", "text")
+    return stripped.filter(trimmed(F.col("text")) != "")
+
+
+def packed_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """(key, number, text): chunks_of() numbered from 1."""
+    return running_sum(chunks_of(blocks, most), ["key"], [F.col("order")], F.lit(1).cast("long"), "number").select("key", "number", "text")
 
 
 def digested(parts: DataFrame, key: str, summary: Callable[[Column], Column], most: int = 80_000, limit: int = 120_000, head: str = r"## 材料 \d+:") -> DataFrame:
     """(key, text, rounds): the summary of each digest's parts (key, number, text).
 
     Parts that fit into ``limit`` characters together are summed up at once. Others are packed into chunks of ``most``, each chunk is summed
-    up, and the summaries, numbered and in order, are the parts of the next round, until they fit. Each round is written. A summary that
+    up, and the summaries, numbered and in order, are the parts of the next round, until they fit. What a round says is written. A summary that
     makes nothing shorter is an error after ROUNDS.
     """
-    now, done = kept(blocks_of(parts, key, "number", "text", head)), []
+    now, done = blocks_of(parts, key, "number", "text", head), []
     for i in range(ROUNDS):
         size = now.groupBy("key").agg((F.sum(F.length("text") + 1) - 1).alias("size"))
         fits = kept(size.select(F.col("key").alias("of"), (F.col("size") <= limit).alias("fits")))
@@ -80,7 +84,9 @@ def digested(parts: DataFrame, key: str, summary: Callable[[Column], Column], mo
             for more in done[1:]:
                 out = out.unionByName(more)
             return out
-        chunks = packed_blocks(judged.filter("not fits").drop("fits"), most)
-        said = F.concat(F.lit("## 分段 "), F.col("number").cast("string"), F.lit("\n\n"), summary(F.col("text")))
-        now = kept(blocks_of(kept(chunks.select("key", "number", said.alias("text"))), "key", "number", "text"))
+        # Summaries only are numbered, and written: chunks are not.
+        said = chunks_of(judged.filter("not fits").drop("fits"), most).select("key", "order", summary(F.col("text")).alias("text"))
+        numbered = running_sum(said, ["key"], [F.col("order")], F.lit(1).cast("long"), "number")
+        headed = F.concat(F.lit("## 分段 "), F.col("number").cast("string"), F.lit("\n\n"), F.col("text"))
+        now = kept(blocks_of(numbered.select("key", "number", headed.alias("text")), "key", "number", "text"))
     raise ValueError(f"the summaries don't get shorter in {ROUNDS} rounds")
