@@ -69,10 +69,10 @@ def digested(parts: DataFrame, key: str, summary: Callable[[Column], Column], mo
     """(key, text, rounds): the summary of each digest's parts (key, number, text).
 
     Parts that fit into ``limit`` characters together are summed up at once. Others are packed into chunks of ``most``, each chunk is summed
-    up, and the summaries, numbered and in order, are the parts of the next round, until they fit. What a round says is written. A summary that
+    up, and the summaries, numbered and in order, are the parts of the next round, until they fit. Each round's parts are written. A summary that
     makes nothing shorter is an error after ROUNDS.
     """
-    now, done = blocks_of(parts, key, "number", "text", head), []
+    now, done = kept(blocks_of(parts, key, "number", "text", head)), []
     for i in range(ROUNDS):
         size = now.groupBy("key").agg((F.sum(F.length("text") + 1) - 1).alias("size"))
         fits = kept(size.select(F.col("key").alias("of"), (F.col("size") <= limit).alias("fits")))
