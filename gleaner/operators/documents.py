@@ -172,7 +172,8 @@ def editor_documents(notes: DataFrame, key: str = "path", content: str = "conten
     closed = kept(full.unionByName(own).distinct())
     # Each node belongs to the outermost closed block around it.
     outer = nodes.select("key", F.col("place").alias("at"), F.explode(prefixes(F.col("place"))).alias("place")).join(closed, ["key", "place"]).groupBy("key", "at").agg(F.min_by("place", F.size("place")).alias("place"))
-    units = nodes.withColumnRenamed("place", "at").join(outer, ["key", "at"])
+    # From here on a document stays together, so no aggregate or window below moves a text again.
+    units = nodes.withColumnRenamed("place", "at").join(outer, ["key", "at"]).repartition("key")
     mine = lambda c: F.max(F.when(F.size("at") == F.size("place"), F.col(c))).alias(c)
     shown = units.groupBy("key", "place").agg(trimmed(in_order(F.col("at"), F.col("own"))).alias("text"), *[mine(c) for c in ("type", "l", "lt", "level", "li", "url")])
     counted = listed & (F.col("type") != "im") & (F.col("lt") == "ordered") & ~((F.col("type") == "h") & (F.col("text") != ""))

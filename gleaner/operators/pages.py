@@ -190,8 +190,9 @@ def leaves_of(nodes: DataFrame, images: DataFrame | None) -> DataFrame:
     is_video = F.col("tag").isin(*VIDEOS[:2]) | ((F.col("tag") == "iframe") & F.lower(attribute("src")).rlike("video|player"))
     rank = F.when(is_video, F.array_position(F.array(*map(F.lit, VIDEOS)), F.col("tag")))
     videos = nodes.filter(is_video).select("page", F.struct(rank.alias("rank"), "node").alias("v")).groupBy("page").agg(F.sort_array(F.collect_list("v")).alias("v"))
-    numbers = videos.select("page", F.posexplode("v").alias("i", "v")).select("page", "v.node", (F.col("i") + 1).alias("video"))
-    out = nodes.join(numbers, ["page", "node"], "left").withColumn("src", F.when(F.col("tag") == "img", src))
+    # The videos of a page go to its nodes as an array, so that nodes are not moved for them.
+    place = F.array_position(F.transform("v", lambda x: x["node"]), F.col("node"))
+    out = nodes.join(videos, "page", "left").withColumn("video", F.when(is_video, F.nullif(place, F.lit(0).cast("long")))).withColumn("src", F.when(F.col("tag") == "img", src)).drop("v")
     landed = images if images is not None else nodes.sparkSession.createDataFrame([], "src string, name string, width long")
     out = out.join(landed.select(F.col("src").alias("of"), "name", "width"), F.col("src") == F.col("of"), "left").drop("of")
     remote = F.col("src").startswith("http")
