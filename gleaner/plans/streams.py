@@ -29,8 +29,19 @@ def s_cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.last_states(stateful.cooldown_stream(rows), ["user_id"], f"{folder}/states", f"{folder}/checkpoint")
 
 
-QUERIES |= {f.__name__: f for f in (s_upsert_stream, s_cooldown_stream)}
+def s_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark (the largest ts, less an hour) has passed are closed."""
+    folder = work_folder(spark)
+    rows = events(spark, sf_dir).selectExpr("CAST(user_id AS LONG) AS user_id", "event_type", "CAST(ts AS TIMESTAMP) AS ts")
+    with stateful.many_states(spark):
+        return stateful.last_states(stateful.daily_quota(rows, 3), ["user_id", "day"], f"{folder}/states", f"{folder}/checkpoint")
+
+
+QUERIES |= {f.__name__: f for f in (s_upsert_stream, s_cooldown_stream, s_daily_quota)}
 ORACLES |= {
+    "s_daily_quota": """
+        SELECT user_id, day, used, errors, greatest(0, 3 - used) AS remaining, day + INTERVAL 1 DAY > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS open FROM (
+            SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS used, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id, CAST(ts AS DATE))""",
     "s_upsert_stream": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
     "s_cooldown_stream": """
         WITH m AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS miss FROM events GROUP BY user_id),

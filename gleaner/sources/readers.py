@@ -67,17 +67,69 @@ def merge_state(old: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(order, is_new)).alias(v)).select(*keys, f"{v}.*")
 
 
+#: The file that says that a version is complete: how many files it has, and their bytes.
+MARKER = "_COMPLETE"
+
+
+def store(spark: SparkSession, path: str) -> tuple:
+    """The file system that has a path, and the path, as the cluster's own objects."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def contents(spark: SparkSession, folder: str) -> str:
+    """How many data files a folder has, and their bytes."""
+    fs, path = store(spark, folder)
+    sizes = [f.getLen() for f in fs.listStatus(path) if not f.getPath().getName().startswith(("_", "."))]
+    return f"{len(sizes)} {sum(sizes)}"
+
+
 def write_versioned(df: DataFrame, path: str, version: int) -> str:
-    """K1: a new version beside the last one; readers take the newest complete folder."""
-    target = f"{path}/v={version:08d}"
+    """K1: a new version beside the last one, then its marker; a version that is written anew loses its marker first."""
+    target, spark = f"{path}/v={version:08d}", df.sparkSession
     df.write.mode("overwrite").parquet(target)
+    fs, marker = store(spark, f"{target}/{MARKER}")
+    out = fs.create(marker, True)
+    out.writeBytes(contents(spark, target))
+    out.close()
     return target
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a version has its marker, and all the files and bytes that it names."""
+    fs, marker = store(spark, f"{folder}/{MARKER}")
+    if not fs.exists(marker):
+        return False
+    stream = fs.open(marker)
+    said = bytes(stream.readAllBytes()).decode("ascii", "replace")
+    stream.close()
+    return said == contents(spark, folder)
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version that must be complete."""
+    folder = f"{path}/v={version:08d}"
+    if not is_complete(spark, folder):
+        raise ValueError(f"{folder} is not complete")
+    return spark.read.parquet(folder)
+
+
+def latest_version(spark: SparkSession, path: str, default: DataFrame | None = None) -> DataFrame:
+    """The newest complete version; torn ones are passed over. Without any: the default, or an error."""
+    fs, folder = store(spark, path)
+    found = sorted((f.getPath().getName() for f in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
+    for name in found:
+        if name.startswith("v=") and is_complete(spark, f"{path}/{name}"):
+            return spark.read.parquet(f"{path}/{name}")
+    if default is None:
+        raise FileNotFoundError(f"no complete version in {path}")
+    return default
+
+
 def drop_version(spark: SparkSession, path: str, version: int) -> None:
     """K1: an old version goes, in whatever store the path names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version:08d}")
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = store(spark, f"{path}/v={version:08d}")
+    fs.delete(target, True)
 
 
 def work_folder(spark: SparkSession) -> str:

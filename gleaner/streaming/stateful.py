@@ -1,15 +1,18 @@
-"""Streams: keyed upserts by foreachBatch, and a circuit breaker with per-key state."""
+"""Streams: keyed upserts by foreachBatch, a circuit breaker, and daily quotas that timers close at midnight."""
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gleaner.sources.readers import drop_version, merge_state, write_versioned
+from gleaner.sources.readers import drop_version, latest_version, merge_state, read_version, write_versioned  # noqa: F401 (latest_version reads what upsert_stream wrote)
 
 
 def upsert_stream(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, kept: int = 2):
@@ -21,7 +24,7 @@ def upsert_stream(stream: DataFrame, keys: list[str], order: str, path: str, che
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("v")).select(*keys, "v.*")
-        merged = merge_state(spark.read.parquet(f"{path}/v={number - 1:08d}"), newest, keys, order) if number else newest
+        merged = merge_state(read_version(spark, path, number - 1), newest, keys, order) if number else newest
         write_versioned(merged, path, number)
         if number >= kept:
             drop_version(spark, path, number - kept)
@@ -29,13 +32,6 @@ def upsert_stream(stream: DataFrame, keys: list[str], order: str, path: str, che
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; versions are folders v=…, whose value Spark reads as a partition column."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg({"v": "max"}).first()[0]
-    return spark.read.parquet(f"{path}/v={newest:08d}")
-
-
 def last_states(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Runs an update-mode stream over what is there, and returns each key's last row: of the latest batch that had one."""
 
@@ -73,3 +69,85 @@ def cooldown_stream(stream: DataFrame, least: int = 3, seconds: int = 300, delay
 
     timed = stream.withWatermark("ts", delay).select("user_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, streak long, open boolean", "streak long, last double", "update", "EventTimeTimeout")
+
+
+@contextlib.contextmanager
+def many_states(spark: SparkSession):
+    """transformWithState keeps its states in RocksDB; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+DAY = datetime.timedelta(days=1)
+EPOCH = datetime.date(1970, 1, 1)
+
+
+class DailyQuota(StatefulProcessor):
+    """A user's counts of each day that is not over; a timer at its midnight (UTC) emits and forgets them."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day int", "used long, errors long")
+
+    def close(self) -> None:
+        pass
+
+    def state(self, user: int, day: int, used: int, errors: int, is_open: bool) -> dict:
+        return {"user_id": user, "day": EPOCH + day * DAY, "used": used, "errors": errors, "remaining": max(0, self.limit - used), "open": is_open}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's names)
+        counts: dict[int, list[int]] = {}
+        for part in rows:
+            for day, used, errors in zip(part["day"], part["used"], part["errors"]):
+                held = counts.setdefault(int(day), [0, 0])
+                held[0] += int(used)
+                held[1] += int(errors)
+        out = []
+        for day, (used, errors) in counts.items():
+            if self.days.containsKey((day,)):
+                before = self.days.getValue((day,))
+                used, errors = used + before[0], errors + before[1]
+            else:
+                self.handle.registerTimer((day + 1) * 86_400_000)
+            self.days.updateValue((day,), (used, errors))
+            out.append(self.state(key[0], day, used, errors, True))
+        yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        day = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000 - 1
+        used, errors = self.days.getValue((day,))
+        self.days.removeKey((day,))
+        yield pd.DataFrame([self.state(key[0], day, used, errors, False)])
+
+
+def daily_quota(stream: DataFrame, limit: int, delay: str = "1 hour") -> DataFrame:
+    """Per user_id and day (UTC), calls used, errors, what is left of the limit, and whether the day is still open.
+
+    stream: user_id long, event_type string, ts timestamp. A call is any row that is no error; what is left never is below zero. Counters begin
+    anew each day. Emits a day's state after each batch that had rows of it, and once more, closed, when the watermark has passed its end; rows
+    of closed days are left out. Rows without a user or time are left out. Rows are counted by user and day within each task before they
+    are shuffled, so a user with very many rows is few. Needs many_states().
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                rows["day"] = rows["at"] // 86_400_000_000
+                groups = rows.groupby(["user_id", "day"], as_index=False).agg(ts=("ts", "max"), used=("call", "sum"), errors=("error", "sum"))
+                yield groups
+
+    error = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    timed = stream.filter("user_id is not null and ts is not null").select("user_id", "ts", F.unix_micros("ts").alias("at"), error.cast("long").alias("error"), (~error).cast("long").alias("call"))
+    parts = timed.mapInPandas(counted, "user_id long, day long, ts timestamp, used long, errors long").withWatermark("ts", delay)
+    return parts.groupBy("user_id").transformWithStateInPandas(DailyQuota(limit), "user_id long, day date, used long, errors long, remaining long, open boolean", "Update", "EventTime")

@@ -1,7 +1,7 @@
 import pytest
 from compare import SF, compare
 
-from gleaner.plans import catalog, conversion, digests, notes, records, streams  # noqa: F401 (they add their queries)
+from gleaner.plans import catalog, conversion, digests, notes, records, streams, upkeep  # noqa: F401 (they add their queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
