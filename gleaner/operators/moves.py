@@ -107,7 +107,7 @@ def planned(wanted: DataFrame, existing: DataFrame, done: DataFrame, as_of: Colu
     pending = once.join(last, "source", "left").filter("last is null or modified > last").select("source", "folder", file_of(F.col("source")).alias("name"))
     there = existing.select("path").unionByName(done.select(F.col("destination").alias("path"))).filter("path is not null")
     listed = there.select(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1).alias("folder"), file_of(F.col("path")).alias("name"))
-    free = free_names_for(pending, listed.join(pending.select("folder").distinct(), "folder", "left_semi"))
+    free = free_names_for(pending, listed)
     return free.select("source", F.concat("folder", F.lit("/"), "free").alias("destination"), as_of.alias("moved_at"))
 
 
