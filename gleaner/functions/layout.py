@@ -11,47 +11,56 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A colour code, or one character.
-UNIT = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]|.", re.DOTALL)
+CODE = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
+#: No character before this one is wide.
+FIRST_WIDE = 0x1100
 
 
-@functools.lru_cache(maxsize=100_000)
-def columns_of(unit: str) -> int:
-    return 0 if len(unit) > 1 else 2 if unicodedata.east_asian_width(unit) in "FW" else 1
+@functools.cache
+def columns() -> np.ndarray:
+    """Columns of all characters by number."""
+    return np.fromiter((2 if unicodedata.east_asian_width(chr(i)) in "FW" else 1 for i in range(0x110000)), np.int8, 0x110000)
 
 
-def measured(text: str) -> tuple[list[str], np.ndarray]:
-    """The text's units, and the columns that are used before each of them, the total at the end."""
-    units = UNIT.findall(text)
-    used = np.zeros(len(units) + 1, np.int64)
-    np.cumsum([columns_of(u) for u in units], out=used[1:])
-    return units, used
+def measured(text: str) -> np.ndarray:
+    """Columns used before each character, and the total at the end; those of a colour code use none."""
+    numbers = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    used = np.zeros(len(numbers) + 1, np.int64)
+    if len(numbers):
+        widths = columns()[numbers] if numbers.max() >= FIRST_WIDE else np.ones(len(numbers), np.int8)
+        if "\x1b" in text:
+            for code in CODE.finditer(text):
+                widths[code.start() : code.end()] = 0
+        np.cumsum(widths, out=used[1:])
+    return used
+
+
+def end_of(used: np.ndarray, start: int, room: int) -> int:
+    """Where a line from ``start`` ends: as many characters as there is room for, one at least, and the codes after the last one."""
+    end = int(np.searchsorted(used, used[start] + max(room, 0), "right")) - 1
+    if used[end] == used[start] and end < len(used) - 1:
+        end = int(np.searchsorted(used, used[end + 1], "right")) - 1
+    return end
 
 
 def wrap(text: str, width: int, prefix: str) -> list[str]:
-    units, used = measured(text)
-    indent, lines, start = int(measured(prefix)[1][-1]), [], 0
-    while True:
-        room = width - (indent if lines else 0)
-        # As many units as there is room for, but a character at least; codes after the last one stay with it.
-        end = int(np.searchsorted(used, max(used[start] + room, used[start]), "right")) - 1
-        if end < len(units) and used[end] == used[start]:
-            end = int(np.searchsorted(used, used[start], "right"))
-            end = int(np.searchsorted(used, used[end], "right")) - 1
-        lines.append((prefix if lines else "") + "".join(units[start:end]))
-        if end >= len(units):
-            return lines
-        start = end
+    used, room = measured(text), width - int(measured(prefix)[-1])
+    end = end_of(used, 0, width)
+    lines = [text[:end]]
+    while end < len(text):
+        start, end = end, end_of(used, end, room)
+        lines.append(prefix + text[start:end])
+    return lines
 
 
 def fit(text: str, width: int) -> str:
-    units, used = measured(text)
+    used = measured(text)
     if used[-1] <= width:
         return text + " " * (width - int(used[-1]))
     if width < 1:
         return ""
     end = int(np.searchsorted(used, width - 1, "right")) - 1
-    return "".join(units[:end]) + "…" + " " * (width - 1 - int(used[end]))
+    return text[:end] + "…" + " " * (width - 1 - int(used[end]))
 
 
 def wrapped(c: Column, width: int, prefix: str = "") -> Column:
