@@ -16,30 +16,30 @@ def digits(value: Column, n: int, little: bool = False) -> Column:
     return F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(n))]) if little else big
 
 
-SIZES_SQL = "(p_size * 7 + p_partkey % 90) AS w, (p_size * 5 + p_partkey % 130) AS h"
+SIZES_SQL = "(doc_id % 50 * 7 + doc_id % 89 + 1) AS w, (doc_id % 50 * 5 + doc_id % 131 + 1) AS h"
 
 
 @query(f"""
-    SELECT p_partkey, kind, CASE WHEN cut THEN NULL ELSE w END AS width, CASE WHEN cut THEN NULL ELSE h END AS height, CASE WHEN cut THEN p_size * 200 + 18 >= 5000 ELSE w >= 100 AND h >= 100 END AS ok FROM (
-        SELECT *, p_partkey % 7 = 6 AS cut, ['png', 'gif', 'jpeg', 'webp', 'webp', 'webp', NULL][CAST(p_partkey % 7 AS INT) + 1] AS kind, {SIZES_SQL} FROM part)""")
+    SELECT doc_id, kind, CASE WHEN cut THEN NULL ELSE w END AS width, CASE WHEN cut THEN NULL ELSE h END AS height, CASE WHEN cut THEN doc_id % 50 * 200 + 18 >= 5000 ELSE w >= 100 AND h >= 100 END AS ok FROM (
+        SELECT *, doc_id % 7 = 6 AS cut, ['png', 'gif', 'jpeg', 'webp', 'webp', 'webp', NULL][CAST(doc_id % 7 AS INT) + 1] AS kind, {SIZES_SQL} FROM documents)""")
 def q_image_headers(t):
     """PNG, GIF, JPEG after other segments, the three kinds of WebP, and bytes of no known kind, which are judged by their number."""
-    sized = t("part").selectExpr("p_partkey", "p_size", SIZES_SQL.split(" AS w, ")[0] + " AS w", SIZES_SQL.split(" AS w, ")[1])
+    sized = t("documents").selectExpr("doc_id", "CAST(doc_id % 50 AS INT) AS more", *SIZES_SQL.split(", "))
     w, h = F.col("w").cast("long"), F.col("h").cast("long")
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), digits(w, 4), digits(h, 4))
     gif = F.concat(F.lit("474946383961"), digits(w, 2, True), digits(h, 2, True), F.lit("0000"))
-    other = F.concat(F.lit("FFE1"), digits(F.col("p_size") + 2, 2), F.repeat(F.lit("FF"), F.col("p_size")))
+    other = F.concat(F.lit("FFE1"), digits(F.col("more") + 2, 2), F.repeat(F.lit("FF"), F.col("more")))
     jpeg = F.concat(F.lit("FFD8"), other, F.lit("FFFFDB000400C0FFC2000B08"), digits(h, 2), digits(w, 2), F.lit("01011100FFD9"))
     webp = F.concat(F.lit("524946460000000057454250"))
     extended = F.concat(webp, F.lit("565038580A00000000000000"), digits(w - 1, 3, True), digits(h - 1, 3, True))
     lossless = F.concat(webp, F.lit("5650384C000000002F"), digits((w - 1) + (h - 1) * 16384, 4, True))
     lossy = F.concat(webp, F.lit("5650382000000000000000009D012A"[:22]), F.lit("9D012A"), digits(w, 2, True), digits(h, 2, True))
-    unknown = F.repeat(F.lit("00"), F.col("p_size") * 200 + 18)
-    made = F.get(F.array(png, gif, jpeg, extended, lossless, lossy, unknown), (F.col("p_partkey") % 7).cast("int"))
-    files = sized.select("p_partkey", F.unhex(made).alias("content"))
+    unknown = F.repeat(F.lit("00"), F.col("more") * 200 + 18)
+    made = F.get(F.array(png, gif, jpeg, extended, lossless, lossy, unknown), (F.col("doc_id") % 7).cast("int"))
+    files = sized.select("doc_id", F.unhex(made).alias("content"))
     size = images.image_size(F.col("content"))
-    read = files.select("p_partkey", images.image_kind(F.col("content")).alias("kind"), size.alias("size"), F.length("content").alias("n"), "content")
-    return read.select("p_partkey", "kind", "size.width", "size.height", images.image_ok(F.col("content"), F.col("size")).alias("ok"))
+    read = files.select("doc_id", images.image_kind(F.col("content")).alias("kind"), size.alias("size"), F.length("content").alias("n"), "content")
+    return read.select("doc_id", "kind", "size.width", "size.height", images.image_ok(F.col("content"), F.col("size")).alias("ok"))
 
 
 RAW = """concat(CASE page_id % 4 WHEN 0 THEN '/vault/' WHEN 1 THEN '/vaults/' WHEN 2 THEN '' ELSE 'a/../../' END, replace(url, '://', '/../'),
@@ -102,31 +102,31 @@ FLAG = "concat(CASE WHEN doc_id % 3 = 1 THEN '- [x] **是否已读**\n' ELSE '-
 
 
 @query(rf"""
-    WITH {placed_sql(f"SELECT '/vault/' || coalesce(source, '') || '/' || doc_id % 200 || '/' || coalesce(lang, 'other') || '/' || {NAME.format(text='VARCHAR')} AS source, '/vault/已读/' || CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'rest' END AS folder, {NAME.format(text='VARCHAR')} AS name FROM documents WHERE contains({FLAG}, '- [x] **是否已读**') GROUP BY ALL", "SELECT '/vault/已读/rest/note' || p_partkey || '.md' AS path FROM part WHERE p_size < 20")}
+    WITH {placed_sql(f"SELECT '/vault/' || coalesce(source, '') || '/' || doc_id || '/' || coalesce(lang, 'other') || '/' || {NAME.format(text='VARCHAR')} AS source, '/vault/已读/' || CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'rest' END AS folder, {NAME.format(text='VARCHAR')} AS name FROM documents WHERE contains({FLAG}, '- [x] **是否已读**') GROUP BY ALL", "SELECT '/vault/已读/rest/note' || p_partkey || '.md' AS path FROM part WHERE p_size < 20")}
     SELECT source, destination, {AT} AS moved_at FROM plan""")
 def q_archive_plan(t):
     """Notes marked as read into the folder of their kind, without two of one name."""
-    path = F.concat(F.lit("/vault/"), F.coalesce("source", F.lit("")), F.lit("/"), (F.col("doc_id") % 200).cast("string"), F.lit("/"), F.coalesce("lang", F.lit("other")), F.lit("/"), F.expr(NAME.format(text="STRING")))
+    path = F.concat(F.lit("/vault/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("lang", F.lit("other")), F.lit("/"), F.expr(NAME.format(text="STRING")))
     notes = t("documents").select(path.alias("path"), F.lit(None).cast("timestamp").alias("modified"), F.expr(FLAG).alias("text"))
     there = t("part").filter("p_size < 20").select(F.concat(F.lit("/vault/已读/rest/note"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
     done = there.limit(0).select(F.lit("").alias("source"), F.lit("").alias("destination"), F.expr(AT).alias("moved_at"))
     return moves.archived(notes, there, done, "/vault", ["en", "de", "rest"], F.expr(AT))
 
 
-SHOWN = "translate(concat(p_name, ' ', p_brand, ' ', p_type), 'aeiou', '码文本行宽')"
+SHOWN = "translate(concat(coalesce(source, '-'), ' ', coalesce(lang, '-'), ' ', doc_id * 7919, ' note'), 'aeiou', '码文本行宽')"
 WIDTH_SQL = "CASE WHEN e[1].c IN ('码', '文', '本', '行', '宽') THEN 2 ELSE 1 END"
 
 
 @query(rf"""
-    WITH shown AS (SELECT p_partkey, {SHOWN} AS s FROM part),
-    chars AS (SELECT p_partkey, s, list_transform(string_split(s, ''), lambda c: [{{'c': c, 'n': CAST(0 AS INT)}}]) AS cs FROM shown),
-    folded AS (SELECT p_partkey, s, list_reduce(list_prepend([{{'c': '', 'n': CAST(0 AS INT)}}], cs), lambda done, e: CASE WHEN done[-1].n + {WIDTH_SQL} > 15 THEN list_concat(done, [{{'c': '> ' || e[1].c, 'n': CAST(2 + {WIDTH_SQL} AS INT)}}])
+    WITH shown AS (SELECT doc_id, {SHOWN} AS s FROM documents),
+    chars AS (SELECT doc_id, s, list_transform(string_split(s, ''), lambda c: [{{'c': c, 'n': CAST(0 AS INT)}}]) AS cs FROM shown),
+    folded AS (SELECT doc_id, s, list_reduce(list_prepend([{{'c': '', 'n': CAST(0 AS INT)}}], cs), lambda done, e: CASE WHEN done[-1].n + {WIDTH_SQL} > 15 THEN list_concat(done, [{{'c': '> ' || e[1].c, 'n': CAST(2 + {WIDTH_SQL} AS INT)}}])
         ELSE list_concat(done[1:len(done) - 1], [{{'c': done[-1].c || e[1].c, 'n': CAST(done[-1].n + {WIDTH_SQL} AS INT)}}]) END) AS lines FROM chars),
-    fits AS (SELECT p_partkey, list_reduce(list_prepend([{{'c': '', 'n': CAST(0 AS INT)}}], cs), lambda done, e: CASE WHEN done[1].n + {WIDTH_SQL} > 11 THEN [{{'c': done[1].c, 'n': CAST(done[1].n + 100 AS INT)}}] ELSE [{{'c': done[1].c || e[1].c, 'n': CAST(done[1].n + {WIDTH_SQL} AS INT)}}] END) AS cut FROM chars)
-    SELECT p_partkey, array_to_string(list_transform(lines, lambda x: x.c), chr(10)) AS lines, cut[1].c || '…' || repeat(' ', CAST(11 - cut[1].n % 100 AS INT)) AS fitted FROM folded JOIN fits USING (p_partkey)""")
+    fits AS (SELECT doc_id, list_reduce(list_prepend([{{'c': '', 'n': CAST(0 AS INT)}}], cs), lambda done, e: CASE WHEN done[1].n + {WIDTH_SQL} > 11 THEN [{{'c': done[1].c, 'n': CAST(done[1].n + 100 AS INT)}}] ELSE [{{'c': done[1].c || e[1].c, 'n': CAST(done[1].n + {WIDTH_SQL} AS INT)}}] END) AS cut FROM chars)
+    SELECT doc_id, array_to_string(list_transform(lines, lambda x: x.c), chr(10)) AS lines, cut[1].c || '…' || repeat(' ', CAST(11 - cut[1].n % 100 AS INT)) AS fitted FROM folded JOIN fits USING (doc_id)""")
 def q_wrapped(t):
     """Mixed wide and narrow text with colour codes, wrapped to 15 columns with a prefix, and fitted into 12; the codes are taken out at last."""
     shown = F.concat(F.lit("\x1b[1;31m"), F.regexp_replace(F.expr(SHOWN), " ", "\x1b[0m "), F.lit("\x1b[0m"))
     plain = lambda c: F.regexp_replace(c, "\x1b\\[[0-9;]*m", "")
-    rows = t("part").select("p_partkey", layout.wrapped(shown, 15, "> ").alias("lines"), layout.fitted(shown, 12).alias("fitted"))
-    return rows.select("p_partkey", plain(F.array_join("lines", "\n")).alias("lines"), plain(F.col("fitted")).alias("fitted"))
+    rows = t("documents").select("doc_id", layout.wrapped(shown, 15, "> ").alias("lines"), layout.fitted(shown, 12).alias("fitted"))
+    return rows.select("doc_id", plain(F.array_join("lines", "\n")).alias("lines"), plain(F.col("fitted")).alias("fitted"))
