@@ -41,20 +41,20 @@ def s_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Items of a landed page, and of each of the first two runs; the third takes the rest.
-PAGE_ITEMS, RUN_ITEMS = 500, 2000
+PAGE_ITEMS, RUN_ITEMS = 200, 300
 
 
 def s_paged_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as landed pages, newest first; what is of the first quarter of the time is known; three runs, each with a new query."""
+    """What documents are as landed pages of a listing, newest first; the first quarter of the ids is known; three runs, each anew."""
     folder = work_folder(spark)
-    rows = table(spark, sf_dir, "events").selectExpr("CAST(event_id AS LONG) AS event_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) AS at_us")
-    placed = running_sum(rows, [], [F.desc("at_us"), F.desc("event_id")], F.lit(1), "place").withColumn("page", F.floor((F.col("place") - 1) / PAGE_ITEMS) + 1)
+    rows = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS LONG) AS doc_id", "lang", "CAST(coalesce(length(text), 0) AS LONG) AS size")
+    placed = running_sum(rows, [], [F.desc("doc_id")], F.lit(1), "place").withColumn("page", F.floor((F.col("place") - 1) / PAGE_ITEMS) + 1)
     placed.repartitionByRange("page").sortWithinPartitions("page", "place").drop("place").write.partitionBy("page").json(f"{folder}/pages")
-    known = rows.selectExpr("min(at_us) + (max(at_us) - min(at_us)) DIV 4 AS mark").first().mark
-    source, schema = paged.paged_source("landed_pages", paged.LandedPages), "event_id long, event_type string, at_us long"
+    known = rows.selectExpr("min(doc_id) + (max(doc_id) - min(doc_id)) DIV 4 AS mark").first().mark
+    source, schema = paged.paged_source("landed_pages", paged.LandedPages), "doc_id long, lang string, size long"
     for most in (RUN_ITEMS, RUN_ITEMS, 0):
         paged.pull(
-            spark, source, schema, ["at_us", "event_id"], f"{folder}/state", f"{folder}/checkpoint", None if known is None else [known, 2**63 - 1], most,
+            spark, source, schema, ["doc_id"], f"{folder}/state", f"{folder}/checkpoint", None if known is None else [known], most,
             path=f"{folder}/pages", tasks=str(spark.sparkContext.defaultParallelism),
         )
     return paged.pulled(spark, f"{folder}/state", schema)
@@ -63,8 +63,8 @@ def s_paged_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (s_upsert_stream, s_cooldown_stream, s_daily_quota, s_paged_pull)}
 ORACLES |= {
     "s_paged_pull": f"""
-        SELECT event_id, event_type, at_us, least((row_number() OVER (ORDER BY at_us, event_id) - 1) // {RUN_ITEMS}, 2) AS run FROM (
-            SELECT event_id, event_type, epoch_us(ts) AS at_us FROM events) WHERE at_us > (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 FROM events)""",
+        SELECT doc_id, lang, size, least((row_number() OVER (ORDER BY doc_id) - 1) // {RUN_ITEMS}, 2) AS run FROM (
+            SELECT doc_id, lang, coalesce(length(text), 0) AS size FROM documents) WHERE doc_id > (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // 4 FROM documents)""",
     "s_daily_quota": """
         SELECT user_id, day, used, errors, greatest(0, 3 - used) AS remaining, day + INTERVAL 1 DAY > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS open FROM (
             SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS used, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id, CAST(ts AS DATE))""",
