@@ -14,6 +14,7 @@ its posting. All lists that a fingerprint shares with one outside every crowd ar
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 from math import comb
 
@@ -44,11 +45,17 @@ def simhash(text: bytes | None, size: int = 3) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < size else list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(shingles), CHUNK):
-        hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(s, 42) for s in shingles[i : i + CHUNK]), np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big")
+    return voted(np.frombuffer(b"".join(xxhash.xxh64_digest(s, 42) for s in shingles[i : i + CHUNK]), np.uint8) for i in range(0, len(shingles), CHUNK))
+
+
+def voted(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have; parts: bytes of hashes, each hash's highest first."""
+    votes, n = np.zeros(64, np.int64), 0
+    for part in parts:
+        bits = np.unpackbits(part.reshape(-1, 8), axis=1)
+        votes += bits.sum(axis=0, dtype=np.int64)
+        n += len(bits)
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
 def fingerprint(text: Column, size: int = 3) -> Column:
@@ -70,12 +77,13 @@ def links(prints: DataFrame) -> DataFrame:
     postings = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(MASKS)])
     posted = prints.select("fp", F.explode(postings).alias("at"))
     sizes = posted.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
-    posted = written(posted.join(sizes, "at"))
+    # By sort and merge: what comes of an explode is taken for as small as the fingerprints' file, and would go through the driver.
+    posted = written(posted.join(sizes.hint("merge"), "at"))
     short = posted.filter(F.col("n") <= PAIRED).select("at", "fp")
-    met = short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), "at").filter("a > b")
+    met = short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b").hint("merge"), "at").filter("a > b")
     tally = met.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= LEAST_SHARED)
     kept = tally.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
-    crowd = posted.filter(F.col("n") > PAIRED).select("fp").distinct()
+    crowd = written(posted.filter(F.col("n") > PAIRED).select("fp").distinct())
     near = crowd.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("at"))
     smallest = near.groupBy("at").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1").select("at", "low")
     # A one-bit neighbour leads back to its members: they needn't be kept with it.
