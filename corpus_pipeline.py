@@ -49,6 +49,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more in five-word shingles, the one with the smallest doc_id stays.
 
+    Pairs come from SimHash fingerprints by operator 3's index (at most 2 of 64 bits differ), and from its wider form for those that differ in
+    more bits; all are verified on their shingles.
     Null, empty and wordless texts link to nothing and stay, as do rows without a doc_id; rows of one doc_id are one document. An empty table
     stays empty.
     """

@@ -1,10 +1,11 @@
-"""Near copies of a similarity of 0.8 or more, for which 64 SimHash bits are too few: operator 3's index over wider fingerprints.
+"""Near copies of a similarity of 0.8 or more: by SimHash, and for what 64 bits are too few by the same index over wider signatures.
 
-Texts with a Jaccard similarity of 0.8 in five-word shingles differ in 1 to 18 of 64 SimHash bits (measured), which leaves no byte that both
-must share. So this form of the operator keeps the byte-position index, the tally of shared positional bytes and the verification, but takes
-BYTES positional bytes from one-permutation minimum hashing, each of which two texts share with the probability of their similarity. The tally
-only filters, with a margin; pairs that pass are verified on all of their shingles. Lists of the index are those of BANDS bands of three
-positions.
+Each text has a SimHash of its distinct shingles; operator 3's index of positional bytes finds the pairs that differ in at most 2 bits, and
+these are verified on all of their shingles. But texts with a Jaccard similarity of 0.8 in five-word shingles differ in 1 to 18 of 64 SimHash
+bits (measured), which leaves no byte that both must share. So beside it stands an index of the same form, with the byte positions, the tally
+of shared positional bytes and the verification, over BYTES positional bytes from one-permutation minimum hashing, each of which two texts
+share with the probability of their similarity. The tally only filters, with a margin; pairs that pass are verified in the same way. Lists of
+this index are those of BANDS bands of three positions.
 
 What is asked for are components, so pairs that are linked already need no look. First every entry of a list is compared with the smallest
 one, which links most near copies with about a row each. What lists still hold apart is then compared in full, in tiles: a list's entries, with
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import simhash
 from gleaner.llm.components import components
 from gleaner.llm.shared import keeping, written
 
@@ -63,10 +65,16 @@ def positional(mixed: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(56)).astype(np.uint8)
 
 
+def fingerprint(keys: np.ndarray) -> int:
+    """The SimHash of a text as a signed long, from the distinct hashes of its shingles."""
+    parts = (keys[i : i + simhash.CHUNK].astype(">u8").view(np.uint8) for i in range(0, len(keys), simhash.CHUNK))
+    return simhash.signed(simhash.voted(parts))
+
+
 def signed(text: Column, size: int) -> Column:
-    """struct<bytes, bands> of a text (binary); null without words."""
+    """struct<bytes, bands, fp> of a text (binary); null without words."""
 
-    @F.arrow_udf("struct<bytes:binary,bands:array<long>>")
+    @F.arrow_udf("struct<bytes:binary,bands:array<long>,fp:long>")
     def signatures(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
@@ -77,8 +85,8 @@ def signed(text: Column, size: int) -> Column:
             mixed = signature(keys)
             bands = mixed[BAND_AT]
             bands = ((bands[:, 0] * ODD ^ bands[:, 1]) * ODD ^ bands[:, 2]) * ODD + np.arange(BANDS, dtype=np.uint64)
-            rows.append({"bytes": positional(mixed).tobytes(), "bands": bands.view(np.int64).tolist()})
-        return pa.array(rows, pa.struct([("bytes", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+            rows.append({"bytes": positional(mixed).tobytes(), "bands": bands.view(np.int64).tolist(), "fp": fingerprint(keys)})
+        return pa.array(rows, pa.struct([("bytes", pa.binary()), ("bands", pa.list_(pa.int64())), ("fp", pa.int64())]))
 
     return signatures(text)
 
@@ -130,6 +138,16 @@ def near(pairs: DataFrame, same: DataFrame, docs: DataFrame, size: int, similari
     return meet.filter(enough).select("a", "b").distinct()
 
 
+def by_simhash(same: DataFrame) -> DataFrame:
+    """(a, b) of the texts in ``same`` (one, fp) that SimHash takes for near copies: those of one fingerprint, as links to the first of them,
+    and the first ones of two fingerprints that operator 3's index links."""
+    prints = written(same.groupBy("fp").agg(F.min("one").alias("first")))
+    equal = same.join(prints, "fp").filter("one <> first").select(F.col("one").alias("a"), F.col("first").alias("b"))
+    found = simhash.links(prints.select("fp")).toDF("x", "y")
+    close = found.join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return equal.unionByName(close)
+
+
 def unlinked(lists: DataFrame, links: DataFrame) -> DataFrame:
     """(at, one, root) of the entries in lists of ``lists`` (at, one) that hold more than one component of ``links``."""
     roots = components(links)
@@ -191,14 +209,14 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """
     named = docs.filter("doc_id is not null").select("doc_id", "text")
     signs = written(named.select("doc_id", signed(F.coalesce("text", F.lit("")).cast("binary"), size).alias("s")))
-    rows = signs.filter("s is not null").select("doc_id", "s.bytes", "s.bands")
-    same = written(rows.groupBy("bytes").agg(F.min("doc_id").alias("one"), F.first("bands").alias("bands")))
+    rows = signs.filter("s is not null").select("doc_id", "s.bytes", "s.bands", "s.fp")
+    same = written(rows.groupBy("bytes").agg(F.min("doc_id").alias("one"), F.first("bands").alias("bands"), F.min_by("fp", "doc_id").alias("fp")))
     copies = rows.join(same.select("bytes", "one"), "bytes").filter("doc_id <> one").select(F.col("doc_id").alias("a"), F.col("one").alias("b"))
     posted = same.select("one", F.explode("bands").alias("at"))
     low = posted.groupBy("at").agg(F.count("*").alias("n"), F.min("one").alias("low")).filter("n > 1").select("at", "low")
-    lists = written(posted.join(low, "at"))
+    lists = written(posted.join(low.hint("merge"), "at"))  # as an explode is taken for small
     stars = lists.filter("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b"))
-    links = written(near(stars, same, named, size, similarity))
+    links = written(near(stars.unionByName(by_simhash(same)), same, named, size, similarity))
     left = unlinked(lists, links)
     if left.head(1):
         links = links.union(written(tiled(left, named, size, similarity)))
