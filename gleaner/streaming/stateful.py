@@ -86,49 +86,64 @@ def many_states(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-DAY = datetime.timedelta(days=1)
+DAY, DAY_MS = datetime.timedelta(days=1), 86_400_000
 EPOCH = datetime.date(1970, 1, 1)
 
 
 class DailyQuota(StatefulProcessor):
-    """A user's counts of each day that is not over; a timer at its midnight (UTC) emits and forgets them."""
+    """A user's counts of each day that is not over; a timer at the first one's midnight (UTC) emits and forgets all days that are over by then.
+
+    The days are one value with one timer, as each call of the state's store is a message between two processes.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", "used long, errors long")
+        self.days = handle.getValueState("days", "day array<int>, used array<long>, errors array<long>")
 
     def close(self) -> None:
         pass
 
-    def state(self, user: int, day: int, used: int, errors: int, is_open: bool) -> dict:
-        return {"user_id": user, "day": EPOCH + day * DAY, "used": used, "errors": errors, "remaining": max(0, self.limit - used), "open": is_open}
+    def held(self) -> dict[int, tuple[int, int]]:
+        found = self.days.get()
+        return {d: (u, e) for d, u, e in zip(*found)} if found else {}
+
+    def keep(self, days: dict[int, tuple[int, int]]) -> None:
+        if days:
+            order = sorted(days)
+            self.days.update((order, [days[d][0] for d in order], [days[d][1] for d in order]))
+        else:
+            self.days.clear()
+
+    def states(self, user: int, days: dict[int, tuple[int, int]], is_open: bool) -> pd.DataFrame:
+        columns = ("user_id", "day", "used", "errors", "remaining", "open")
+        return pd.DataFrame([(user, EPOCH + d * DAY, used, errors, max(0, self.limit - used), is_open) for d, (used, errors) in days.items()], columns=columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's names)
-        counts: dict[int, list[int]] = {}
+        held, changed = self.held(), {}
+        first = min(held, default=None)
         for part in rows:
-            for day, used, errors in zip(part["day"], part["used"], part["errors"]):
-                held = counts.setdefault(int(day), [0, 0])
-                held[0] += int(used)
-                held[1] += int(errors)
-        out = []
-        for day, (used, errors) in counts.items():
-            if self.days.containsKey((day,)):
-                before = self.days.getValue((day,))
-                used, errors = used + before[0], errors + before[1]
-            else:
-                self.handle.registerTimer((day + 1) * 86_400_000)
-            self.days.updateValue((day,), (used, errors))
-            out.append(self.state(key[0], day, used, errors, True))
-        yield pd.DataFrame(out)
+            for day, used, errors in zip(part["day"].tolist(), part["used"].tolist(), part["errors"].tolist()):
+                before = held.get(day, (0, 0))
+                held[day] = changed[day] = (before[0] + used, before[1] + errors)
+        self.keep(held)
+        if first is None or min(held) < first:
+            self.handle.registerTimer((min(held) + 1) * DAY_MS)
+        yield self.states(key[0], changed, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        day = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000 - 1
-        used, errors = self.days.getValue((day,))
-        self.days.removeKey((day,))
-        yield pd.DataFrame([self.state(key[0], day, used, errors, False)])
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = self.held()
+        over = {d: n for d, n in held.items() if (d + 1) * DAY_MS <= now}
+        left = {d: n for d, n in held.items() if d not in over}
+        # A timer that an earlier day's came before finds its own day gone; that one's has set another for what is left.
+        if over:
+            self.keep(left)
+            if left:
+                self.handle.registerTimer((min(left) + 1) * DAY_MS)
+            yield self.states(key[0], over, False)
 
 
 def daily_quota(stream: DataFrame, limit: int, delay: str = "1 hour") -> DataFrame:
