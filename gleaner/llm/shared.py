@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.readers import small_batches  # noqa: F401 (for the operators)
+
 #: White space of the word contracts, as a Java regex class body and as what ``bytes.split()`` takes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,12 +76,6 @@ def written(df: DataFrame, outside: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets this session hand Python workers fewer rows at a time, which bounds what both sides hold of long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)) or rows)))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """As written(), for small tables of iterations: Spark removes the files when the frame is no longer used."""
     shared_dir(df.sparkSession)

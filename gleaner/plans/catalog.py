@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markdown, text
 from gleaner.operators import incremental as inc
-from gleaner.sources.readers import table
+from gleaner.sources.readers import small_batches, table
 
 AS_OF, WEEK = "2024-01-31", "2024-01-17"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,8 +331,10 @@ def q_page_links(t):
 
 @query()
 def q_html_to_md(t):
+    pages = t("pages")
+    small_batches(pages.sparkSession)  # of pages of any size a worker holds a batch, and what becomes of it
     md = markdown.html_to_markdown(F.col("html"))
-    return t("pages").select("page_id", md.alias("md")).select("page_id", F.length("md").cast("long").alias("n_chars"), F.sha2("md", 256).alias("md_sha256"))
+    return pages.select("page_id", md.alias("md")).select("page_id", F.length("md").cast("long").alias("n_chars"), F.sha2("md", 256).alias("md_sha256"))
 
 
 @query("""
