@@ -1,12 +1,13 @@
 """Operator 6 (native): document fingerprints by consistent weighted sampling.
 
-A text is a weighted set: its words, each with its number of occurrences. For each of SAMPLES samples a word has two gamma(2, 1) variables r
-and c and a uniform b, all taken from the hash of the word and the sample. With t = floor(ln(weight) / r + b) the word's draw is
-ln c - r (t - b + 1); the least draw wins, and (word, t) is the sample. Two texts agree in a sample with the probability of their generalised
-Jaccard similarity, the sum of the words' lesser weights over that of their greater ones.
+A text is a weighted set: its words, each with its number of occurrences. As weights are whole numbers, a word of weight n has the n elements
+(word, 1) to (word, n), each with a hash for each of SAMPLES samples; the element with the least hash is the sample. It is uniform over the
+weight, and consistent: an element of two texts has the same hash in both. Two texts agree in a sample with the probability of their
+generalised Jaccard similarity, the sum of the words' lesser weights over that of their greater ones. The work is that of the text's words,
+whose number is the sum of the weights, and no logarithm is taken, as samplers of any real weight need.
 
 All of it is DataFrame functions. Documents are dealt to blocks of neighbouring ids once; everything after (the next document, words, weights,
-draws) needs only rows of the block, so the texts are shuffled once and nothing else is. Which document follows the last one of a block is
+samples) needs only rows of the block, so the texts are shuffled once and nothing else is. Which document follows the last one of a block is
 known from the blocks' bounds, which are ids that occur: a document whose id is a bound also goes, as a guest, to the block before.
 """
 
@@ -22,49 +23,20 @@ from gleaner.llm.shared import WORD, sha_longs, sha_text
 SAMPLES = 64
 #: Samples of a row: the code for wider rows takes long to compile.
 PART = 32
-#: Bits of a sample in the fingerprint; the rest of its long is the draw.
+#: Bits of a sample in the fingerprint: the low ones of its hash.
 SIGN_BITS = 24
 #: Documents of a block, about; BLOCKS bounds the list of bounds, which all tasks hold (8 bytes each). With more documents, blocks are larger.
 BLOCK_ROWS, BLOCKS = 250, 400_000
 
 
-def draw(h: str) -> str:
-    """SQL of a word's draw in a sample, from column h (the hash of both) and ``weight`` (its logarithm).
-
-    A long, whose order is the draws' and whose low bits name (word, t). The five uniforms are slices of the hash.
-    """
-
-    def uniform(shift: int, bits: int) -> str:  # in (0, 1)
-        return f"(((shiftrightunsigned({h}, {shift}) & {(1 << bits) - 1}L) + 0.5D) * {2.0**-bits!r}D)"
-
-    minus_r = f"ln({uniform(0, 11)} * {uniform(11, 11)})"
-    log_c = f"ln(-ln({uniform(22, 14)} * {uniform(36, 14)}))"
-    b = uniform(50, 14)
-
-    def ranked(t: str, least: str) -> str:
-        # Draws lie between -12 - 16 (1 + ln(weight)) and 4; 2**29 steps a unit leave room in 63 - SIGN_BITS bits.
-        return f"shiftleft(floor(greatest({least}, -1000D) * {1 << 29}D), {SIGN_BITS}) | (xxhash64({h}, {t}) & {(1 << SIGN_BITS) - 1}L)"
-
-    t = f"floor({b} - weight / {minus_r})"
-    # A word that occurs once, as most do, has t = 0.
-    return f"case when weight = 0D then {ranked('0L', f'{log_c} + {minus_r} * (1D - {b})')} else {ranked(t, f'{log_c} + {minus_r} * ({t} - {b} + 1D)')} end"
-
-
-def signature(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
-    """rows (keys, which, word: a hash) to keys, which, part, PART samples each, and ``word``: the greatest, which is the word where there is one.
-
-    Texts that hold a word equally often share its draws: they are made once for all texts with the same ``within`` (some of the keys, all
-    unless given), whose number must be bounded, and then given to each.
-    """
-    within = keys if within is None else within
-    own = [k for k in keys if k not in within]
-    counted = rows.groupBy(*keys, "which", "word").agg(F.ln(F.count("*").cast("double")).alias("weight"))
-    # The draws are results of this aggregate, whose code Spark splits; that of a projection grows too large.
-    drawn = counted.groupBy(*within, "word", "weight").agg(F.collect_list(F.struct(*own, "which")).alias("at"), *[F.expr(draw(f"xxhash64(word, {k})")).alias(f"s{k}") for k in range(SAMPLES)])
-    parts = F.explode(F.array(*[F.struct(F.lit(j).alias("part"), *[F.col(f"s{j * PART + k}").alias(f"s{k}") for k in range(PART)]) for j in range(SAMPLES // PART)]))
-    each = drawn.select(*within, "at", "word", parts.alias("x")).select(*within, F.explode("at").alias("p"), "word", "x.*")
-    names = [F.col(f"p.{c}").alias(c) for c in (*own, "which")]
-    return each.groupBy(*within, *names, "part").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(PART)], F.max("word").alias("word"))
+def signature(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, which, word: a hash) to keys, which, part, PART samples each, and ``word``: the greatest, which is the word where there is one."""
+    counted = rows.groupBy(*keys, "which", "word").agg(F.count("*").alias("weight"))
+    elements = counted.select(*keys, "which", "word", F.explode(F.sequence(F.lit(1).cast("long"), "weight")).alias("nth"))
+    parts = elements.select(*keys, "which", "word", "nth", F.explode(F.array(*[F.lit(j) for j in range(SAMPLES // PART)])).alias("part"))
+    hashed = parts.select(*keys, "which", "part", "word", F.xxhash64("word", "nth", "part").alias("element"))
+    # Spark splits the code of an aggregate, so it stays small enough to be compiled.
+    return hashed.groupBy(*keys, "which", "part").agg(*[F.min(F.xxhash64(F.lit(k), "element")).alias(f"s{k}") for k in range(PART)], F.max("word").alias("word"))
 
 
 def text_of(samples: list[Column]) -> Column:
@@ -123,7 +95,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     one = both.select(*keys, F.explode(F.array(*texts, *numbers)).alias("x")).select(*keys, "x.which", "x.t", "x.v")
     words = one.filter("which < 2").select(*keys, "which", F.explode(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))).alias("w")).select(*keys, "which", F.xxhash64("w").alias("word"))
     flat = words.union(one.filter("which >= 2").select(*keys, "which", F.explode("v")))
-    signs = signature(flat, keys, ["block"]).withColumn("f", text_of([F.col(f"s{k}") for k in range(PART)]))
+    signs = signature(flat, keys).withColumn("f", text_of([F.col(f"s{k}") for k in range(PART)]))
     none = F.lit("0" * (PART * SIGN_BITS // 4))
     part_of = lambda i, j: F.coalesce(F.max(F.when((F.col("which") == i) & (F.col("part") == j), F.col("f"))), none)
     said = [F.concat(*[part_of(i, j) for j in range(SAMPLES // PART)]).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))]

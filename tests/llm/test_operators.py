@@ -312,6 +312,31 @@ def test_6_weights_follow_generalised_jaccard(spark):
     assert abs(got - sum(want) / 400) < 0.02
 
 
+def test_6_samples_are_the_least_hashes(spark):
+    """op6's CPU time: the samples are those of a plain loop over (word, occurrence), and no aggregate on the way sorts or holds objects."""
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        seed = 42
+        for form, v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack(form, v), seed)
+        return seed - (1 << 64) * (seed >> 63)
+
+    rng = random.Random(6)
+    bags = {(d, side): Counter({rng.randrange(-(1 << 62), 1 << 62): rng.choice((1, 1, 2, 70)) for _ in range(5)}) for d in range(4) for side in (0, 1)}
+    flat = spark.createDataFrame([(*k, w) for k, bag in bags.items() for w in bag.elements()], "d int, which int, word long")
+    signs = weighted_fingerprints.signature(flat, ["d"])
+    part = weighted_fingerprints.PART
+    for r in signs.collect():
+        elements = [hashed(("<q", w), ("<q", i), ("<i", r.part)) for w, n in bags[r.d, r.which].items() for i in range(1, n + 1)]
+        assert [r[f"s{k}"] for k in range(part)] == [min(hashed(("<i", k), ("<q", e)) for e in elements) for k in range(part)]
+    assert signs.count() == len(bags) * weighted_fingerprints.SAMPLES // part
+    plan = signs._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_7_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
