@@ -144,9 +144,13 @@ def entered(state: Column, e: Column) -> Column:
     )
 
 
+#: Elements that end the state flow; most nodes have none around them, so no fold goes over their paths.
+TURNS = ("script", "style", "noscript", *VIDEOS, "table", "pre", "code", *HEADS, "a", "ul", "ol", "blockquote")
+
+
 def state_of(path: Column) -> Column:
     begin = F.struct(F.lit("flow").alias("kind"), F.lit(None).cast("int").alias("unit"), F.lit(0).alias("nth"))
-    return F.aggregate(path, begin, entered)
+    return F.when(F.exists(path, lambda x: x["tag"].isin(*TURNS)), F.aggregate(path, begin, entered)).otherwise(begin)
 
 
 def linked(c: Column) -> Column:
@@ -215,9 +219,9 @@ def article_markdown(nodes: DataFrame, roots: DataFrame, images: DataFrame | Non
     inner = F.filter("path", lambda x: x["node"] > F.col("root"))
     joined = nodes.join(roots.withColumnRenamed("last", "end"), "page").filter((F.col("node") > F.col("root")) & (F.col("node") <= F.col("end")))
     inside = joined.filter(~F.exists("path", lambda x: x["tag"].isin("script", "style", "template"))).withColumn("path", inner).drop("root", "end")
-    rows = kept(leaves_of(inside, images).withColumn("state", state_of(F.col("path"))))
-    kind, unit, nth = F.col("state.kind"), F.col("state.unit"), F.col("state.nth")
-    has_text = trimmed(F.coalesce("shown", F.lit(""))) != ""
+    has_text = F.coalesce(F.col("shown").rlike(r"(?U)\S"), F.lit(False))
+    rows = kept(leaves_of(inside, images).withColumn("state", state_of(F.col("path"))).withColumn("has_text", has_text))
+    kind, unit, nth, has_text = F.col("state.kind"), F.col("state.unit"), F.col("state.nth"), F.col("has_text")
     # Texts on their own, with what they inherit.
     flow = rows.filter((kind == "flow") & has_text)
     styles = kept(parsed(rows.select(attribute("style").alias("style")).filter("style <> ''").distinct()))
@@ -261,7 +265,7 @@ def article_tables(rows: DataFrame) -> DataFrame:
     cells = rows.filter(F.col("tag").isin("td", "th") & (F.col("state.kind") == "table"))
     of = F.filter("path", lambda x: (x["tag"] == "tr") & (x["node"] > F.col("state.unit")))
     placed = cells.select("page", F.col("state.unit").alias("pos"), F.explode(F.transform(of, lambda x: x["node"])).alias("row"), F.col("node").alias("cell"))
-    held = rows.filter((F.col("state.kind") == "table") & (trimmed(F.coalesce("shown", F.lit(""))) != "")).select("page", F.col("node").alias("leaf"), trimmed(F.col("shown")).alias("piece"), F.explode("path.node").alias("cell"))
+    held = rows.filter((F.col("state.kind") == "table") & F.col("has_text")).select("page", F.col("node").alias("leaf"), trimmed(F.col("shown")).alias("piece"), F.explode("path.node").alias("cell"))
     texts = held.join(cells.select("page", F.col("node").alias("cell")), ["page", "cell"]).groupBy("page", "cell").agg(in_order(F.col("leaf"), F.col("piece")).alias("text"))
     safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     full = placed.join(texts, ["page", "cell"], "left").withColumn("text", safe)
