@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.markdown import chunk_numbers
 from gleaner.functions.text import trimmed
-from gleaner.operators.incremental import running_sum
+from gleaner.operators.incremental import row_numbers
 from gleaner.sources.readers import kept
 
 #: Between two parts of a digest; the line feed at its end is where blocks part.
@@ -25,14 +25,15 @@ ROUNDS = 20
 def materials(docs: DataFrame, key: str, order: list[str], title: Column, kind: Column, path: Column, body: Column) -> DataFrame:
     """(key, number, text): each digest's documents in order as numbered sections; a blank body is left out, its number too."""
     named = docs.select(F.col(key).alias("key"), F.struct(*order).alias("order"), title.alias("title"), kind.alias("kind"), path.alias("path"), trimmed(F.coalesce(body, F.lit(""))).alias("body"))
-    numbered = running_sum(named, ["key"], [F.col("order")], F.lit(1).cast("long"), "number").filter("body <> ''")
+    numbered = row_numbers(named, ["key"], [F.col("order")], "number").filter("body <> ''")
     lines = [F.concat(F.lit("## 材料 "), F.col("number").cast("string"), F.lit(": "), F.col("title")), F.concat(F.lit("- 类型: "), F.col("kind")), F.concat(F.lit("- 文件: "), F.col("path")), F.lit(""), F.col("body")]
     return numbered.select(F.col("key").alias(key), "number", F.concat_ws("\n", *[F.coalesce(x, F.lit("")) for x in lines]).alias("text"))
 
 
 def blocks_of(parts: DataFrame, key: str, number: str, text: str, head: str = "") -> DataFrame:
     """(key, place, text): parts joined by RULE, parted again at the line feeds before them, and before lines that begin as ``head`` (a regex) says."""
-    last = parts.groupBy(F.col(key).alias("of")).agg(F.max(number).alias("last"))
+    # Written, as Spark would otherwise move the texts by key for this join, a row a key though it is.
+    last = kept(parts.groupBy(F.col(key).alias("of")).agg(F.max(number).alias("last")))
     ended = F.concat(text, F.when(F.col(number) == F.col("last"), "").otherwise(RULE[:-1]))
     joined = parts.join(last, F.col(key).eqNullSafe(F.col("of"))).select(F.col(key).alias("key"), F.col(number).cast("long").alias("number"), ended.alias("text"))
     pieces = F.split("text", rf"\n(?={head})", -1) if head else F.array("text")
@@ -62,7 +63,7 @@ def chunks_of(blocks: DataFrame, most: int) -> DataFrame:
 
 def packed_blocks(blocks: DataFrame, most: int) -> DataFrame:
     """(key, number, text): chunks_of() numbered from 1."""
-    return running_sum(chunks_of(blocks, most), ["key"], [F.col("order")], F.lit(1).cast("long"), "number").select("key", "number", "text")
+    return row_numbers(chunks_of(blocks, most), ["key"], [F.col("order")], "number").select("key", "number", "text")
 
 
 def digested(parts: DataFrame, key: str, summary: Callable[[Column], Column], most: int = 80_000, limit: int = 120_000, head: str = r"## 材料 \d+:") -> DataFrame:
@@ -86,7 +87,7 @@ def digested(parts: DataFrame, key: str, summary: Callable[[Column], Column], mo
             return out
         # Summaries only are numbered, and written: chunks are not.
         said = chunks_of(judged.filter("not fits").drop("fits"), most).select("key", "order", summary(F.col("text")).alias("text"))
-        numbered = running_sum(said, ["key"], [F.col("order")], F.lit(1).cast("long"), "number")
+        numbered = row_numbers(said, ["key"], [F.col("order")], "number")
         headed = F.concat(F.lit("## 分段 "), F.col("number").cast("string"), F.lit("\n\n"), F.col("text"))
         now = kept(blocks_of(numbered.select("key", "number", headed.alias("text")), "key", "number", "text"))
     raise ValueError(f"the summaries don't get shorter in {ROUNDS} rounds")
