@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.notes import spaced_lists
-from gleaner.functions.text import blank_to_null, trimmed
+from gleaner.functions.text import WHITE, blank_to_null, trimmed
 from gleaner.operators.records import numbering_formats, ordinals
-from gleaner.sources.readers import forget, kept
+from gleaner.sources.readers import kept
 from gleaner.sources.states import field
 
 
 def normal_lines(c: Column, blank: int = 2) -> Column:
     """No white space at line ends, at most so many blank lines in a row, none at both ends."""
-    clean = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
+    clean = F.array_join(F.transform(F.split(c, "\n", -1), lambda line: F.rtrim(line, F.lit(WHITE))), "\n")
     return trimmed(F.regexp_replace(clean, r"\n{%d,}" % (blank + 2), "\n" * (blank + 1)))
 
 
@@ -115,37 +115,55 @@ def word_documents(parts: DataFrame) -> DataFrame:
     return about.join(bodies, "path", "left").select("path", "title", "markdown", "error")
 
 
-def tree_nodes(trees: DataFrame, key: str, root: Column, children: str, columns: list[Column]) -> DataFrame:
-    """(key, place, columns) of all nodes of VARIANT trees: place is the numbers of the node's ancestors and itself among their siblings.
+#: So many levels of a tree one pass descends, as arrays of a row.
+LEVELS = 8
 
-    root: an array of VARIANT; children: the field of a node's children; columns: what is wanted of a node, from column ``node``. One level a
-    round, so rounds are as many as the deepest tree has levels. What is wanted of each level is written; subtrees, until the next level is.
+
+def tree_nodes(trees: DataFrame, key: str, root: Column, children: str, fields: str, columns: list[Column], about: list[str]) -> DataFrame:
+    """(key, about, place, columns) of all nodes of VARIANT trees: place is the numbers of the node's ancestors and itself among their siblings.
+
+    root: an array of VARIANT; children: the field of a node's children, and fields the others with their types, which are read at once; columns:
+    what is wanted of a node, from column ``node``, a struct of these; about: columns of the trees. A tree without nodes has one row, its place
+    null. What is below a node at the top is descended in arrays, LEVELS levels a pass; what is wanted of nodes is written, subtrees only where
+    a tree goes on below a pass.
     """
-    level = kept(trees.select(key, F.posexplode(root).alias("at", "node")).select(key, F.array("at").alias("place"), "node"))
-    found = [kept(level.select(key, "place", *columns))]
-    while level.head(1):
-        below = level.select(key, "place", F.posexplode(field("node", children, kind="array<variant>")).alias("at", "node"))
-        following = kept(below.select(key, F.concat("place", F.array("at")).alias("place"), "node"))
-        forget(level)
-        level = following
-        found.append(kept(level.select(key, "place", *columns)))
-    forget(level)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def own_text(node: str) -> Column:
+    kind = f"struct<`{children}`: array<variant>, {fields}>"
+    at = lambda place, node: F.struct(place.alias("place"), F.try_variant_get(node, F.lit("$"), kind).alias("node"))
+
+    def below(nodes: Column) -> Column:
+        inside = lambda x: F.transform(x["node"][children], lambda node, i: at(F.concat(x["place"], F.array(i)), node))
+        return F.flatten(F.transform(F.filter(nodes, lambda x: x["node"][children].isNotNull()), inside))
+
+    tops = trees.select(key, *about, F.posexplode_outer(root).alias("pos", "node"))
+    level = tops.select(key, *about, F.array(at(F.when(F.col("pos").isNotNull(), F.array("pos")), F.col("node"))).alias("level"))
+    out, deepest = None, 0
+    while True:
+        deepest += LEVELS
+        names = ["level", *(f"level{n}" for n in range(1, LEVELS))]
+        for above, name in zip(names, names[1:]):
+            level = level.withColumn(name, below(F.col(above)))
+        nodes = level.select(key, *about, F.explode(F.concat(*names)).alias("x")).select(key, *about, "x.place", "x.node")
+        rest = F.when(F.size("place") == deepest, F.col("node")[children])
+        found = kept(nodes.select(key, *about, "place", *columns, rest.alias("rest")))
+        out = found.drop("rest") if out is None else out.unionByName(found.drop("rest"))
+        deeper = found.filter("rest is not null")
+        if not deeper.head(1):
+            return out
+        level = deeper.select(key, *about, F.transform("rest", lambda node, i: at(F.concat("place", F.array(i)), node)).alias("level"))
+
+
+#: What an editor's block has: attributes, type and runs, each of these with its text and marks.
+BLOCK = "`4`: struct<l: string, lt: string, ll: string, li: string, u: string, url: string>, `6`: string, `7`: array<struct<`8`: string, `9`: array<struct<`2`: string>>>>"
+
+
+def own_text(runs: Column) -> Column:
     """The text of a block's own runs, between their marks."""
-    runs = F.coalesce(field(node, "7", kind="array<variant>"), F.array().cast("array<variant>"))
 
     def run(x: Column) -> Column:
-        names = F.transform(F.coalesce(field(x, "9", kind="array<variant>"), F.array().cast("array<variant>")), lambda m: field(m, "2"))
-        has = lambda name: F.coalesce(F.array_contains(names, name), F.lit(False))
-        return marked(F.coalesce(field(x, "8"), F.lit("")), has("b"), has("i"), has("s"))
+        has = lambda name: F.coalesce(F.exists(x["9"], lambda m: m["2"] == name), F.lit(False))
+        return marked(x["8"], has("b"), has("i"), has("s"))
 
-    return F.array_join(F.transform(runs, run), "")
+    return F.coalesce(F.array_join(F.transform(runs, run), ""), F.lit(""))
 
 
 def editor_documents(notes: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -156,29 +174,33 @@ def editor_documents(notes: DataFrame, key: str = "path", content: str = "conten
     what the blocks inside give. error: json where the content isn't JSON, blocks where it has no list of blocks; markdown is null then, and
     where nothing was found.
     """
-    parsed = notes.select(F.col(key).alias("key"), F.try_parse_json(content).alias("tree"))
-    parsed = parsed.withColumn("blocks", field("tree", "5", kind="array<variant>"))
-    kind, about = field("node", "6"), lambda name: field("node", "4", name)
+    parsed = notes.select(F.col(key).alias("key"), F.try_parse_json(content).alias("tree")).withColumn("blocks", field("tree", "5", kind="array<variant>"))
+    parsed = parsed.withColumn("error", F.when(F.col("tree").isNull(), "json").when(F.col("blocks").isNull(), "blocks"))
+    about = lambda name: F.col("node")["4"][name]
     columns = [
-        F.coalesce(kind, F.lit("")).alias("type"), blank_to_null(about("l")).alias("l"), about("lt").alias("lt"), F.coalesce(F.nullif(about("ll").try_cast("int"), F.lit(0)), F.lit(1)).alias("level"),
-        blank_to_null(about("li")).alias("li"), F.coalesce(blank_to_null(about("u")), blank_to_null(about("url")), F.lit("")).alias("url"), own_text("node").alias("own"),
+        F.coalesce(F.col("node")["6"], F.lit("")).alias("type"), blank_to_null(about("l")).alias("l"), about("lt").alias("lt"), F.coalesce(F.nullif(about("ll").try_cast("int"), F.lit(0)), F.lit(1)).alias("level"),
+        blank_to_null(about("li")).alias("li"), F.coalesce(blank_to_null(about("u")), blank_to_null(about("url")), F.lit("")).alias("url"), own_text(F.col("node")["7"]).alias("own"),
     ]
-    nodes = tree_nodes(parsed, "key", F.col("blocks"), "5", columns)
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.slice(c, F.lit(1), n))
+    nodes = tree_nodes(parsed, "key", F.col("blocks"), "5", BLOCK, columns, ["error"])
     listed = (F.col("type") == "l") | F.coalesce(F.col("lt").isin("ordered", "unordered"), F.lit(False))
-    # A block is closed if it shows itself; it has a text if a block inside has. Places only are moved to find this out.
-    full = nodes.filter(trimmed(F.col("own")) != "").select("key", F.explode(prefixes(F.col("place"))).alias("place")).distinct()
-    own = nodes.filter(F.col("type").isin("im", "hr") | listed).select("key", "place")
-    closed = kept(full.unionByName(own).distinct())
-    # Each node belongs to the outermost closed block around it.
-    outer = nodes.select("key", F.col("place").alias("at"), F.explode(prefixes(F.col("place"))).alias("place")).join(closed, ["key", "place"]).groupBy("key", "at").agg(F.min_by("place", F.size("place")).alias("place"))
-    # From here on a document stays together, so no aggregate or window below moves a text again.
-    units = nodes.withColumnRenamed("place", "at").join(outer, ["key", "at"]).repartition("key")
-    mine = lambda c: F.max(F.when(F.size("at") == F.size("place"), F.col(c))).alias(c)
-    shown = units.groupBy("key", "place").agg(trimmed(in_order(F.col("at"), F.col("own"))).alias("text"), *[mine(c) for c in ("type", "l", "lt", "level", "li", "url")])
+    # Places sort as a document is read, and what is inside a block comes up to its end. From here on a document stays together.
+    end = F.concat("place", F.array(F.lit(2**31 - 1)))
+    ordered = Window.partitionBy("key").orderBy("place")
+    upto, before = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("key").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A block is closed if it shows itself or has a text inside; the outermost closed block around a node is the one that it belongs to.
+    text_at = F.last(F.when(F.col("own").rlike(r"(?U)\S"), F.col("place")), ignorenulls=True).over(after)
+    known = nodes.filter("key is not null and place is not null").drop("error").withColumn("text_at", text_at)
+    closed = F.coalesce(F.col("text_at") <= end, F.lit(False)) | F.col("type").isin("im", "hr") | listed
+    judged = known.withColumn("closed", closed).withColumn("around", F.max(F.when(F.col("closed"), end)).over(before)).withColumn("pos", F.row_number().over(ordered))
+    outer = F.col("closed") & F.coalesce(F.col("place") > F.col("around"), F.lit(True))
+    mine = F.last(F.when(outer, F.struct("pos", end.alias("end"))), ignorenulls=True).over(upto)
+    units = judged.withColumn("mine", mine).filter(F.col("place") <= F.col("mine.end")).withColumn("block", F.col("mine.pos"))
+    about_block = F.max(F.when(F.col("pos") == F.col("block"), F.struct("type", "l", "lt", "level", "li", "url"))).alias("x")
+    shown = units.groupBy("key", "block").agg(trimmed(in_order(F.col("pos"), F.col("own"))).alias("text"), about_block).select("key", F.col("block").alias("pos"), "text", "x.*")
     counted = listed & (F.col("type") != "im") & (F.col("lt") == "ordered") & ~((F.col("type") == "h") & (F.col("text") != ""))
     marks = shown.withColumn("list", F.coalesce("li", F.concat(F.lit("default-"), F.col("level").cast("string"))))
-    numbered = ordinals(marks, ["key", "list"], "level", "place", F.coalesce(counted, F.lit(False)))
+    numbered = ordinals(marks, ["key", "list"], "level", "pos", F.coalesce(counted, F.lit(False)))
     head = F.when(F.col("type") == "h", F.coalesce(blank_to_null(F.regexp_extract(F.coalesce("l", F.lit("")), "^h([1-6])$", 1)).cast("int"), F.lit(2)))
     title = F.concat(F.repeat(F.lit("#"), head), F.lit(" "), F.col("text"), F.lit("\n\n"))
     sign = F.coalesce(F.concat(F.col("ordinal").cast("string"), F.lit(". ")), F.lit("- "))
@@ -188,7 +210,7 @@ def editor_documents(notes: DataFrame, key: str = "path", content: str = "conten
     has = F.col("text") != ""
     block = F.when(F.col("type") == "im", image).when(has & (F.col("type") == "h"), title).when(listed, item).when(has & F.col("type").rlike("^h[1-6]$"), other)
     block = block.when(F.col("type") == "hr", "---\n\n").otherwise(F.concat("text", F.lit("\n\n")))
-    bodies = numbered.select("key", "place", block.alias("text")).groupBy("key").agg(in_order(F.col("place"), F.col("text")).alias("text"))
+    bodies = numbered.select("key", "pos", block.alias("text")).groupBy("key").agg(in_order(F.col("pos"), F.col("text")).alias("text"))
     markdown = blank_to_null(normal_lines(spaced_lists(F.col("text"))))
-    error = F.when(F.col("tree").isNull(), "json").when(F.col("blocks").isNull(), "blocks")
-    return parsed.select("key", error.alias("error")).join(bodies.select("key", markdown.alias("markdown")), "key", "left").select(F.col("key").alias(key), "markdown", "error")
+    every = nodes.filter("place is null or place = array(0)").select("key", "error")
+    return every.join(bodies.select("key", markdown.alias("markdown")), "key", "left").select(F.col("key").alias(key), "markdown", "error")
